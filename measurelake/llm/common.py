@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def fold(key: Column, parts: int) -> Column:
     """crc32 of a key as text, modulo `parts`."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once a row, however often lambdas in `body` use it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from measurelake.llm import bpe
+from measurelake.llm import bpe, linededup, mixing, rules
 from measurelake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,5 +18,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.read_ranks(RANKS), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs)
+    gone = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1)
+    return out.select("doc_id", gone.cast("long").alias("removed_lines"), F.size("removed_spans").cast("long").alias("removed_runs"), F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
+}
 ORACLES: dict[str, str] = {}
