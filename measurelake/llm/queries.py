@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from measurelake.llm import bpe, jaccard, linededup, mixing, quality, rules
+from measurelake.llm import annpart, bpe, jaccard, linededup, mixing, preference, quality, rules, urlrules
 from measurelake.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,12 +45,34 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: The hand-written rules that go before the mined ones.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlrules.judge(pages, urlrules.mine(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(preference.pairs(preference.conversations(table(spark, sf_dir, "conversations"))))
+    counted = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.when(s["mask"], F.length(s["text"])).otherwise(0)).cast("long")
+    return out.select("pair_id", "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_completion", "rejected_completion", counted("chosen_segments").alias("chosen_loss_chars"), counted("rejected_segments").alias("rejected_loss_chars"))
+
+
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annpart.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_url_filters": op6_url_filters,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op10_learned_partitions": op10_learned_partitions,
 }
 ORACLES: dict[str, str] = {}
