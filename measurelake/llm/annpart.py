@@ -24,7 +24,7 @@ from measurelake.llm.common import materialize
 #: Rows that the parts and the classifier are learned from, at most (in expectation); chosen by hash of the id.
 SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS, PROBES = 32, 12
+PARTS, PROBES = 128, 76
 #: Candidates, and queries, that one task compares.
 BLOCK, QUERIES = 4096, 1024
 SEED = 3

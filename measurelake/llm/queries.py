@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from measurelake.llm import annpart, bpe, jaccard, linededup, mixing, preference, quality, rules, urlrules
+from measurelake.llm import annpart, bpe, jaccard, langcrf, linededup, mixing, preference, quality, rules, urlrules
 from measurelake.llm.common import fold, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,13 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_completion", "rejected_completion", counted("chosen_segments").alias("chosen_loss_chars"), counted("rejected_segments").alias("rejected_loss_chars"))
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langcrf.fit(docs.where(~held_out))
+    return langcrf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annpart.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_crf": op9_language_crf,
     "op10_learned_partitions": op10_learned_partitions,
 }
 ORACLES: dict[str, str] = {}
