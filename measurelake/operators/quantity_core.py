@@ -19,7 +19,7 @@ _WORD = _alt([*lexicon.NUMBER_WORDS, *lexicon.MAGNITUDES])
 _ROW = rf"(?:(?:{_WORD})(?:(?:-| and | )(?:{_WORD}))*|{_alt(lexicon.STANDALONE)})"
 _MAGNITUDE = _alt(lexicon.MAGNITUDES)
 _SCALED = rf"{_DIGITS}(?: ?[x×*∙⋅·] ?10\^ ?[-+]?\d+|\^[-+]?\d+| ?[-+]?{_DIGITS}/\d+|/\d+(?![\d.])| (?:{_MAGNITUDE})\b|(?:k|M|B)\b(?=\s*$))?"
-NUMBER = re.compile(rf"(?<![\w.,^])(?:[-+] ?)?{_SCALED}(?![\d])|\b(?:(?:an?|the) )?(?:{_alt(lexicon.IMPRECISE_QUANTITIES)})\b|\b(?:{_ROW})\b", re.IGNORECASE)
+NUMBER = re.compile(rf"(?<![\w.,^])(?:[-+] ?)?{_SCALED}(?![\d])|\b(?:(?:an?|the) )?(?:{_alt(lexicon.IMPRECISE_QUANTITIES)})\b(?! than\b)|\b(?:{_ROW})\b", re.IGNORECASE)
 _N = rf"[-+]?{_DIGITS}(?: ?[x*] ?10\^-?\d+)?"
 _UNIT = r"[^\s()\[\];,±]*"
 _TYPED = r"(?:\d+(?:\.\d+)? ?% ?)?(?P<kind>confidence intervals?|credible intervals?|uncertainty intervals?|prediction intervals?|interquartile range|CI|UI|CrI|IQR|PI)"
@@ -30,7 +30,7 @@ UNCERTAINTY = [
     ("unknown", re.compile(rf"(?<=\d|[%\w]) ?[(\[](?P<lb>{_N})(?: ?- ?| to |, ?)(?P<ub>{_N})(?P<unit> ?{_UNIT})[)\]]")),
     ("standard_deviation", re.compile(rf"[,;]? ?[(\[]? ?(?:standard deviation|std\.? ?dev\.?|SD|s\.d\.)[ :=]*(?P<v>{_N})(?P<unit> ?{_UNIT})[)\]]?", re.IGNORECASE)),
 ]
-_MARK = ""
+_MARK = "\ue000"
 _BEFORE = re.compile(rf"\s*(?:{_alt([*lexicon.PREFIXED_MODIFIERS, *lexicon.SIGNS])})(?!\w)|\s*(?:{_alt([m for m in lexicon.PREFIXED_MODIFIERS if not m[-1].isalnum()] + list(lexicon.SIGNS))})", re.IGNORECASE)
 _AFTER = re.compile(rf"(?:^|(?<=[\s\d%)]))(?:{_alt(lexicon.SUFFIXED_MODIFIERS)})\s*$", re.IGNORECASE)
 _SEPARATORS = [
