@@ -16,7 +16,7 @@ from measurelake.llm.common import lower_ascii, materialize
 
 BAD = "label=bad"
 GOOD = "label=good"
-#: Most tokens of a combination, the label's included, and most mined rules that are kept (best confidence first).
+#: Most tokens of a combination, the label's included, and most mined rules that are matched as literals of the plan.
 TOKENS, RULES = 4, 1000
 
 
@@ -66,11 +66,18 @@ def mine(df: DataFrame, labels: DataFrame, support: float = 0.002, confidence: f
     both = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("hits"))
     every = sets.where(~F.array_contains("items", BAD) & ~F.array_contains("items", GOOD)).select(F.array_sort("items").alias("tokens"), "freq")
     rules = both.join(every, "tokens").withColumn("share", F.col("hits") / F.col("freq")).where(f"share >= {confidence} AND share >= {lift * share}")
-    out: list[tuple[frozenset[str], float, int]] = []
-    for r in sorted(rules.orderBy(F.desc("share"), F.desc("freq"), "tokens").limit(RULES).collect(), key=lambda r: (len(r["tokens"]), -r["share"], r["tokens"])):
-        if not any(x <= {*r["tokens"]} for x, _, _ in out):
-            out.append((frozenset(r["tokens"]), r["share"], r["freq"]))
-    return sorted(out, key=lambda r: (-r[1], -r[2], sorted(r[0])))
+    # all of them: the support bounds their number, whatever the size of the table
+    kept = minimal(materialize(rules.select("tokens", "share", "freq"), "rules"))
+    return sorted(((frozenset(r["tokens"]), r["share"], r["freq"]) for r in kept.collect()), key=lambda r: (-r[1], -r[2], sorted(r[0])))
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """The rules (sorted tokens, each set once, TOKENS - 1 at most) of which no part is a rule."""
+    places = [[i for i in range(TOKENS - 1) if mask >> i & 1] for mask in range(1, (1 << (TOKENS - 1)) - 1)]
+    parts = F.array(*(F.filter(F.array(*(F.get("tokens", F.lit(i)) for i in own)), lambda t: t.isNotNull()) for own in places))
+    proper = F.filter(F.array_distinct(parts), lambda p: (F.size(p) > 0) & (F.size(p) < F.size("tokens")))
+    over = rules.select("tokens", F.explode(proper).alias("part")).join(rules.select(F.col("tokens").alias("part")), "part", "left_semi")
+    return rules.join(over.select("tokens").distinct(), "tokens", "left_anti")
 
 
 def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -89,7 +96,7 @@ def judge(df: DataFrame, mined: list[tuple[frozenset[str], float, int]], rules:
 
     The inverted index maps the rarest token of each mined rule to the rule, so a URL looks up its own tokens only.
     A URL that nothing fits is allowed. A null URL or one without `://` has no host and no path, and is allowed.
-    Map only: both sets of rules are bounded literals.
+    Map only up to RULES mined ones, which are literals as the hand-written are; more are joined to the distinct URLs.
     """
     host, path = split_url(F.col(url))
     index: dict[str, list[int]] = {}
@@ -101,10 +108,16 @@ def judge(df: DataFrame, mined: list[tuple[frozenset[str], float, int]], rules:
         index.setdefault(min(r, key=lambda t: (seen[t], -len(t), t)), []).append(i)
     own = F.col("__tokens")
     number = F.lit(None).cast("int")
-    if mined:
+    if 0 < len(mined) <= RULES:
         entries = F.create_map(*(x for k, v in index.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, sorted(mined[i][0]))).alias("t")) for i in v)))))
         found = F.flatten(F.transform(F.filter(own, lambda t: F.array_contains(F.lit([*index]), t)), lambda t: F.try_element_at(entries, t)))
         number = F.array_min(F.transform(F.filter(found, lambda x: F.forall(x["t"], lambda t: F.array_contains(own, t))), lambda x: x["i"]))
     out = df.select(*keep, F.col(url).alias("__url"), host.alias("__host"), path.alias("__path")).withColumn("__tokens", tokens(F.col("__url"), F.col("__host"), F.col("__path")))
+    if len(mined) > RULES:
+        entries = df.sparkSession.createDataFrame([(k, i, sorted(mined[i][0])) for k, v in index.items() for i in v], "__key string, __i int, __t array<string>")
+        asked = out.where(F.col("__url").isNotNull()).select("__url", "__tokens").distinct().withColumn("__key", F.explode("__tokens"))
+        fits = asked.join(F.broadcast(entries), "__key").where(F.forall("__t", lambda t: F.array_contains("__tokens", t)))
+        out = out.join(fits.groupBy("__url").agg(F.min("__i").alias("__number")), "__url", "left")
+        number = F.col("__number")
     rule, verdict = listed(F.col("__host"), F.col("__path"), rules)
     return out.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), number.alias("mined"), F.coalesce(verdict, F.when(number.isNotNull(), "block").otherwise("allow")).alias("verdict"))
