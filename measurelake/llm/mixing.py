@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-Each source's documents, in a fixed shuffled order, are one stream of words, cut into blocks of equal length. Slot
-i of the schedule stands at the golden-ratio point frac(i * phi); the source in whose share of the cumulative
-targets the point falls fills it with its next block, and begins anew after its last. Points of this sequence are
-spread so evenly that each source has its share of slots in any stretch of the schedule, to within a few.
+Each source's documents, in a fixed shuffled order, are one stream of words, cut into blocks of equal length (to
+within a word). Each source has as many slots of the schedule as blocks come nearest to its target. Slot i stands at
+the golden-ratio point frac(i * phi); the source in whose stretch of the sorted points it falls fills it with its
+next block, and begins anew after its last. Points of this sequence are spread so evenly that each source has its
+share of slots in any stretch of the schedule, to within a few.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ PHI = (math.sqrt(5) - 1) / 2
 CHUNK = 8192
 #: Documents of a source that are summed together, on average.
 SHELF = 4096
+#: Blocks that a source is cut into at least, or one for each word: less than one slot would be nothing to a small one.
+BLOCKS = 16
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -50,7 +53,11 @@ def _mix(df: DataFrame, text: str, doc_id: str, source: str, weights: tuple[floa
 
     # sources of any size are cut into shelves by hash, so that no running sum is over a whole source
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sums = materialize(targets(sums, weights, most), "sources")
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.least("source_size", F.lit(BLOCKS)))
+    # as many blocks as come nearest to the target, and never one more often than `most` allows
+    quota = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.floor(F.col("blocks") * float(most)))
+    sums = targets(sums, weights, most).withColumn("blocks", blocks).withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(0).cast("long"))
+    sums = materialize(sums, "sources")
     docs = docs.join(sums, docs["source"].eqNullSafe(sums["source"])).drop(sums["source"])
     docs = docs.withColumn("shelf", F.pmod(F.shiftrightunsigned("order", 1), F.ceil(F.col("n") / SHELF)))
     shelves = docs.groupBy("source", "shelf").agg(F.sum("size").alias("words"))
@@ -59,27 +66,48 @@ def _mix(df: DataFrame, text: str, doc_id: str, source: str, weights: tuple[floa
     own = Window.partitionBy("source", "shelf").orderBy("order", "doc", "version")
     inside = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     docs = docs.withColumn("inside", inside).withColumn("place", F.row_number().over(own)).join(shelves, F.col("source").eqNullSafe(F.col("s")) & (F.col("shelf") == F.col("f")))
-    docs = docs.withColumn("start", F.col("base") + F.col("inside")).select("doc", "version", "source", "shelf", "place", "size", "source_size", "target", "start")
+    docs = docs.withColumn("start", F.col("base") + F.col("inside")).select("doc", "version", "source", "shelf", "place", "size", "source_size", "target", "blocks", "start")
 
     # the schedule: point, source, rank within the source, block
-    total = sums.agg(F.sum("source_size")).first()[0] or 0
-    order = Window.orderBy("until", F.col("source").isNull(), F.col("source").cast("binary"))
-    share = sums.where("target > 0").select("source", "source_size", (F.sum("target").over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) / F.sum("target").over(Window.partitionBy())).alias("until"))
-    share = share.withColumn("from", F.lag("until", 1, 0.0).over(order)).withColumn("until", F.when(F.lead("until").over(order).isNull(), 2.0).otherwise(F.col("until")))
-    cells = max(1, 4 * sums.count())
-    share = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * cells), F.least(F.floor(F.col("until") * cells), F.lit(cells - 1)))))
-    slots = df.sparkSession.range(0, -(-total // block)).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * cells)).join(share, "cell").where("from <= u AND u < until")
-    slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK)).select("slot", "chunk", "source", "source_size")
+    total, n = sums.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    until = F.sum("quota").over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    share = sums.select("source", "blocks", "quota", until.alias("until")).where("quota > 0").withColumn("from", F.col("until") - F.col("quota"))
+    cells = max(1, total // CHUNK)
+    slots = df.sparkSession.range(0, total).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
+    slots = slots.withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)))
+    below = slots.groupBy("cell").agg(F.count("*").alias("n"))
+    below = below.select(F.col("cell").alias("c"), F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    # the place of each point among all in order; bins of places, each with a few sources only
+    slots = slots.withColumn("in_cell", F.row_number().over(Window.partitionBy("cell").orderBy("u", "slot")) - 1).join(F.broadcast(below), F.col("cell") == F.col("c"))
+    width = max(1, total // max(1, 4 * n))
+    slots = slots.select("slot", (F.col("below") + F.col("in_cell")).alias("point")).withColumn("bin", F.floor(F.col("point") / width))
+    share = share.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("until") - 1) / width))))
+    slots = slots.join(share, "bin").where("from <= point AND point < until")
+    slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK)).select("slot", "chunk", "source", "blocks")
     counts = slots.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     counts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
     slots = slots.withColumn("within", within).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     rank = F.col("base") + F.col("within")
-    slots = slots.select("slot", "source", rank.alias("rank"), F.pmod(rank, F.ceil(F.col("source_size") / block)).alias("block"))
+    slots = slots.select("slot", "source", rank.alias("rank"), F.pmod(rank, F.col("blocks")).alias("block"))
     return docs, slots
 
 
+def _div(a: Column, b: str) -> Column:
+    """Whole part of a / b, exact: decimals of 38 digits."""
+    return F.call_function("div", a, F.col(b).cast("decimal(20,0)"))
+
+
+def _start_of(b: Column) -> Column:
+    """First word of block b: b * source_size / blocks, rounded down."""
+    return _div(b.cast("decimal(18,0)") * F.col("source_size").cast("decimal(18,0)"), "blocks")
+
+
+def _block_of(word: Column) -> Column:
+    """The block that a word of the stream is in."""
+    return _div((word + 1).cast("decimal(18,0)") * F.col("blocks").cast("decimal(18,0)") - 1, "source_size")
+
+
 def _point(i: Column) -> Column:
     """frac(i * phi), exact to some 1e-10 for any slot: high and low part apart."""
     low, high = F.pmod(i, F.lit(1 << 20)), F.floor(i / (1 << 20))
@@ -102,8 +130,7 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     docs, slots = _mix(df, text, doc_id, source, weights, most, block, seed)
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
     times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
-    last = F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), last))))
+    pieces = docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(_block_of(F.col("start")), _block_of(F.col("start") + F.col("size") - 1)))))
     pieces = pieces.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    share = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    share = F.least(F.col("start") + F.col("size"), _start_of(F.col("block") + 1)) - F.greatest(F.col("start"), _start_of(F.col("block")))
     return pieces.groupBy("source", "shelf", "place").agg(F.first("doc").alias("doc"), F.first("version").alias("version"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.coalesce(share * F.col("times"), F.lit(0))).alias("taken")).select("doc", "version", "source", "size", "source_size", "target", "taken")
