@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from measurelake.llm.common import materialize
+
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
-#: Conversations of one first turn that are paired with each other; groups of any size are cut to such parts by hash.
+#: Conversations of one shared prefix that are paired in one window; larger groups are cut to such parts by hash first.
 PART = 512
 
 
@@ -29,25 +31,62 @@ def conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 def pairs(convs: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id, chosen, rejected) of conversations that begin with the same turn.
 
-    Conversations of one first turn are dealt by hash of conv_id into parts of about PART, ordered by conv_id, and
-    paired as they come; of a pair the one with more words by assistants is chosen, in a tie the smaller conv_id.
+    Conversations are paired by the deepest prefix of turns they share: the longest prefixes first; one that is odd
+    goes on to the next shorter prefix that it shares with others, so that of a first turn one at most stays alone.
+    Copies, which differ in nothing, are left for a prefix that others share too; where there is none, they are
+    paired with each other. Of a pair the one with more words by assistants is chosen, in a tie the smaller conv_id.
     A conversation that stays alone is chosen; rejected is a copy of it whose last turn by an assistant says again
     what the first such turn said, with a null rejected_id; no turns if there are no two such turns that differ.
     pair_id is the smaller conv_id of the pair.
     """
-    head = F.xxhash64(F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"])
     said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0), lambda a, t: a + F.size(F.array_remove(F.split(t["text"], r"[\x20\x09-\x0D]+"), "")))
-    convs = convs.select("conv_id", "turns", head.alias("head"), said.alias("said"))
-    sizes = convs.groupBy("head").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    convs = convs.join(sizes, "head").withColumn("part", F.pmod(F.xxhash64("conv_id"), F.col("parts")))
-    own = Window.partitionBy("head", "part").orderBy("conv_id")
-    convs = convs.withColumn("k", F.row_number().over(own) - 1)
-    two = convs.groupBy("head", "part", F.floor(F.col("k") / 2).alias("pair")).agg(F.sort_array(F.collect_list(F.struct((-F.col("said")).alias("less"), "conv_id", "turns"))).alias("two"), F.min("conv_id").alias("pair_id"))
+    convs = materialize(convs.select("conv_id", "turns", said.alias("said")), "conversations")
+    two = convs.join(_mates(convs), "conv_id", "left").groupBy(F.coalesce("pair", "conv_id").alias("pair_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("said")).alias("less"), "conv_id", "turns"))).alias("two"))
     chosen, other = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     two = two.select("pair_id", chosen["conv_id"].alias("chosen_id"), other["conv_id"].alias("rejected_id"), chosen["turns"].alias("chosen"), other["turns"].alias("rejected"))
     return two.withColumn("rejected", F.coalesce("rejected", stale(F.col("chosen"))))
 
 
+def _mates(convs: DataFrame) -> DataFrame:
+    """(conv_id, pair) of conversations that have a partner; pair is the smaller conv_id of both."""
+    none = F.array().cast("array<bigint>")
+    chain = F.aggregate("turns", none, lambda a, t: F.array_append(a, F.xxhash64(F.coalesce(F.element_at(F.concat(F.array(F.lit(0).cast("bigint")), a), -1), F.lit(0)), t["role"], t["text"])))
+    heads = convs.select("conv_id", chain.alias("chain")).select("conv_id", F.element_at(F.concat(F.array(F.lit(0).cast("bigint")), "chain"), -1).alias("whole"), F.size("chain").alias("depth"), F.posexplode("chain").alias("at", "h"))
+    heads = materialize(heads.select("conv_id", "whole", "at", "h", (F.col("at") + 1 == F.col("depth")).alias("ends")), "prefixes")
+    shared = heads.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("ends").cast("long")).alias("whole_n")).where("n > 1")
+    own = heads.join(shared, "h").groupBy("conv_id").agg(F.first("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("at", "h", "n", (F.col("n") == F.col("whole_n")).alias("copies")))).alias("path"))
+    # prefixes at which conversations part; those of copies alone only if there is no other
+    forks = F.filter("path", lambda x, i: F.coalesce(F.get("path", i + 1)["n"] != x["n"], F.lit(True)))
+    own = own.withColumn("path", forks)
+    own = own.withColumn("path", F.when(F.exists("path", lambda x: ~x["copies"]), F.filter("path", lambda x: ~x["copies"])).otherwise(F.col("path")))
+    own = materialize(own, "paths")
+    deepest, largest = own.agg(F.coalesce(F.max(F.size("path")), F.lit(0)), F.max(F.get("path", F.lit(0))["n"])).first()
+    left, out = None, own.select("conv_id", F.col("conv_id").alias("pair")).limit(0)
+    for level in range(deepest, 0, -1):  # few: only where conversations part
+        here = own.where(F.size("path") == level)
+        here = here if left is None else here.unionByName(left)
+        node = F.get("path", F.lit(level - 1))
+        parts = F.ceil(node["n"] / PART)
+        for part in [F.pmod(F.xxhash64("conv_id"), parts), F.lit(0)] if largest > PART else [F.lit(0)]:
+            made = materialize(_paired(here.withColumn("node", node["h"]).withColumn("part", part.cast("long"))), "paired")
+            out = out.unionByName(made.where("pair IS NOT NULL").select("conv_id", "pair"))
+            here = made.where("pair IS NULL").select("conv_id", "whole", "path")
+        left = here
+    return out
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """(conv_id, whole, path, pair): pairs within node and part, with null for one of an odd number.
+
+    In the order of what they say, each goes with the one half the group away: copies meet only if they are most of it.
+    """
+    own = Window.partitionBy("node", "part")
+    rows = rows.withColumn("half", F.floor(F.count("*").over(own) / 2)).withColumn("k", F.row_number().over(own.orderBy("whole", "conv_id")) - 1)
+    rows = rows.withColumn("k", F.when(F.col("k") < 2 * F.col("half"), F.col("k") % F.greatest("half", F.lit(1))))
+    pair = F.when(F.col("k").isNotNull(), F.min("conv_id").over(Window.partitionBy("node", "part", "k")))
+    return rows.select("conv_id", "whole", "path", pair.alias("pair"))
+
+
 def stale(turns: Column) -> Column:
     """The conversation up to its last assistant's turn, which says what the first one said; no turns if that is no change."""
     places = F.filter(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
