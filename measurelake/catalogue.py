@@ -83,6 +83,14 @@ def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").where(n % 10 > 0).select("c_custkey", str2num(F.concat(tens, F.lit("-"), ones)).alias("number"))
 
 
+@query("SELECT c_custkey, (c_custkey % 79 + 21)::DOUBLE AS number FROM customer")
+def number_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey") % 79 + 21
+    tens = F.element_at(F.array(*map(F.lit, "twenty thirty forty fifty sixty seventy eighty ninety".split())), (n / 10).cast("int") - 1)
+    ones = F.get(F.array(*map(F.lit, ["", *"-one -two -three -four -five -six -seven -eight -nine".split()])), (n % 10).cast("int"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", str2num(F.concat(tens, ones)).alias("number"))
+
+
 @query("SELECT p_partkey, p_size::BIGINT * CASE p_partkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1000000000 END AS number FROM part")
 def number_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = F.concat_ws(" ", F.col("p_size").cast("string"), _pick(F.col("p_partkey"), "hundred", "thousand", "million", "billion"))
