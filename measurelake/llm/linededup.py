@@ -1,11 +1,10 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of whole windows of lines, in DataFrame functions only.
 
-A window is a shortest run of lines that holds `min_words` words or more, from a line on or up to a line. Its
-fingerprint is the least line hash in it. Whatever two places share, if it is as long as a window, holds the same
-windows and so the same fingerprints: every shared run is found, however its surroundings differ. Windows that
-share a fingerprint meet in one group and are compared whole; a match extends forwards over the windows from each
-of its lines and backwards over the windows up to each of them. Of equal windows the first by (document, line)
-stays, and the lines of all later ones go.
+A window is a shortest run of lines that holds `min_words` words or more, from a line on or up to a line. All windows
+are kept, none selected as winnowing would; the fingerprint, the least line hash in a window, is a key beside the
+hash of its whole content, which decides. Whatever two places share, if it is as long as a window, holds the same
+windows: every shared run is found, however its surroundings differ, as the union of its windows' lines. Of equal
+windows the first by (document, line) stays, and the lines of all later ones go.
 """
 
 from __future__ import annotations
