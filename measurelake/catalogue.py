@@ -14,7 +14,7 @@ from measurelake.functions import text as T
 from measurelake.functions.numbers import str2num
 from measurelake.operators.modifiers import modifiers
 from measurelake.operators.quantities import parse_quantities
-from measurelake.operators.units import convert, link, parse_unit, ucum_code, unit_info
+from measurelake.operators.units import convert_fixed, link, parse_unit, rescale, ucum_code, unit_info
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +60,7 @@ MASSES = ("mg", "g", "kg")
 def length_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat_ws(" ", F.col("p_size").cast("string"), _pick(F.col("p_partkey"), *LENGTHS))
     q = _parsed(_table(spark, sf_dir, "part"), t).select("p_brand", _first(F.col("r")).alias("q")).select("p_brand", F.col("q.value.numeric_value").alias("v"), F.col("q.suffixed_unit.normalized").alias("u"))
-    mm = convert(F.col("v"), F.col("u"), parse_unit(F.lit("mm")))
-    return q.select("p_brand", _whole(mm).alias("mm")).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("mm").alias("total_mm"))
+    return rescale(q, "v", "u", "mm", "in_mm").select("p_brand", _whole(F.col("in_mm")).alias("mm")).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("mm").alias("total_mm"))
 
 
 @query("SELECT o_orderkey, o_totalprice::DOUBLE AS number FROM orders")
@@ -186,13 +185,13 @@ def quantity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, (p_size * 10)::BIGINT AS metres_per_second_10 FROM part")
 def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speed = convert(F.col("p_size") * 3.6, parse_unit(F.lit("km/h")), parse_unit(F.lit("m/s")))
+    speed = convert_fixed(F.col("p_size") * 3.6, "km/h", "m/s")
     return _table(spark, sf_dir, "part").select("p_partkey", _whole(speed * 10).alias("metres_per_second_10"))
 
 
 @query("SELECT p_partkey, (p_size * 18 + 320)::BIGINT AS fahrenheit_10 FROM part")
 def temperature_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = convert(F.col("p_size").cast("double"), parse_unit(F.lit("°C")), parse_unit(F.lit("°F")))
+    f = convert_fixed(F.col("p_size").cast("double"), "°C", "°F")
     return _table(spark, sf_dir, "part").select("p_partkey", _whole(f * 10).alias("fahrenheit_10"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,11 +61,21 @@ def record(text: str | None) -> dict | None:
     return {"text": text, "type": p.kind, "nbr_quantities": len(p.quantities), "success": p.success, "separators": [{"text": t, "role": r} for t, r in p.separators], "normalized_quantities": [_row(q) for q in p.quantities]}
 
 
+#: Records of spans that a worker has met are kept, up to so many.
+KEPT = 50_000
+
+
+@lru_cache(KEPT)
+def _known(text: str) -> dict | None:
+    return record(text)
+
+
 @cache
 def _parse():
     @F.arrow_udf(QUANTITY_TYPE)
     def parse(text: pa.Array) -> pa.Array:
-        return pa.array([record(t) for t in text.to_pylist()], _record)
+        spans = text.dictionary_encode()
+        return pa.array([_known(t) for t in spans.dictionary.to_pylist()], _record).take(spans.indices)
 
     return parse
 
@@ -74,7 +84,8 @@ def parse_quantities(df: DataFrame, text: Column, out: str = "quantity") -> Data
     """`df` with the record of a quantity span in column `out`; null for null, type `unknown` without a number.
 
     The normalized text is generated as a column before the grammar reads it: so the function's argument is a plain
-    attribute, and the function runs once a row however many fields of the record are used.
+    attribute, and the function runs once a row however many fields of the record are used. Of equal spans in a batch
+    one is parsed, and workers keep what they have parsed; no rows are moved for it.
     """
     lines = df.select("*", F.explode(F.array(normalize_quantity(text))).alias("__normalized"))
     return lines.select(*(df[c] for c in df.columns), _parse()(F.col("__normalized")).alias(out))

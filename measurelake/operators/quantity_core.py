@@ -31,6 +31,7 @@ UNCERTAINTY = [
     ("standard_deviation", re.compile(rf"[,;]? ?[(\[]? ?(?:standard deviation|std\.? ?dev\.?|SD|s\.d\.)[ :=]*(?P<v>{_N})(?P<unit> ?{_UNIT})[)\]]?", re.IGNORECASE)),
 ]
 _MARK = "\ue000"
+_IMPRECISE = re.compile(rf"(?:(?:an?|the) )?(?:{_alt(lexicon.IMPRECISE_QUANTITIES)})(?: of)?", re.IGNORECASE)
 _BEFORE = re.compile(rf"\s*(?:{_alt([*lexicon.PREFIXED_MODIFIERS, *lexicon.SIGNS])})(?!\w)|\s*(?:{_alt([m for m in lexicon.PREFIXED_MODIFIERS if not m[-1].isalnum()] + list(lexicon.SIGNS))})", re.IGNORECASE)
 _AFTER = re.compile(rf"(?:^|(?<=[\s\d%)]))(?:{_alt(lexicon.SUFFIXED_MODIFIERS)})\s*$", re.IGNORECASE)
 _SEPARATORS = [
@@ -44,7 +45,7 @@ _SEPARATORS = [
 def _plain(text: str) -> float | None:
     """Digits with one kind of grouping and a decimal mark."""
     t = text.replace(" ", "").replace("'", "")
-    if re.fullmatch(r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?", t) and not re.fullmatch(r"[-+]?0,\d+", t) and (t.count(",") > 1 or "." in t or not re.fullmatch(r"[-+]?\d,\d{3}", t) or True):
+    if re.fullmatch(r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?", t) and not re.fullmatch(r"[-+]?0,\d+", t):
         t = t.replace(",", "")
     elif re.fullmatch(r"[-+]?\d{1,3}(?:\.\d{3}){2,}(?:,\d+)?", t):
         t = t.replace(".", "").replace(",", ".")
@@ -207,6 +208,12 @@ def _cut(gap: str) -> tuple[str, tuple[str, str], str] | None:
     return best[1:]
 
 
+def _exponent(before: str, t: str) -> bool:
+    """Whether a signed digit at the end of nothing but a unit (`J mol -1`) is its exponent."""
+    head = _modifier(before)[1]
+    return bool(re.fullmatch(r"-\d", t) and re.search(r"[A-Za-zμΩ°]\s?$", head) and (u := _unit(head)) and u[1] is not None)
+
+
 def _numbers(s: str) -> list[re.Match[str]]:
     """Numbers that stand for values: not those that are exponents of units or words that are units."""
     out: list[re.Match[str]] = []
@@ -221,7 +228,7 @@ def _numbers(s: str) -> list[re.Match[str]]:
                 continue
             if re.fullmatch(r"(?:19|20)\d\d", t) and re.search(r"[$€£¥]\s?_?\{?$", gap):
                 continue
-        elif re.search(r"[$€£¥]\s?_\{?$", before):
+        elif re.search(r"[$€£¥]\s?_\{?$", before) or _exponent(before, t):
             continue
         out.append(m)
     return out
@@ -261,7 +268,7 @@ def parse(s: str) -> Parsed:
             q.text = q.text[1:].strip()
         _head(heads[i], q)
         q.value = number(q.text)
-        q.imprecise = q.value is None or bool(re.fullmatch(rf"(?:(?:an?|the) )?(?:{_alt(lexicon.IMPRECISE_QUANTITIES)})(?: of)?", q.text, re.IGNORECASE))
+        q.imprecise = q.value is None or _IMPRECISE.fullmatch(q.text) is not None
         if q.imprecise:
             q.value = None
         _tail(ends[i], q, marks)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measurelake.operators import unit_catalog, unit_core
@@ -33,7 +33,8 @@ def _parts(rows: list[dict] | None) -> tuple[Part, ...] | None:
 def _functions() -> dict:
     @F.arrow_udf(UNIT_TYPE)
     def parse(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else as_rows(unit_core.parse(t)) for t in text.to_pylist()], PARTS)
+        names = text.dictionary_encode()
+        return pa.array([as_rows(unit_core.parse(t)) for t in names.dictionary.to_pylist()], PARTS).take(names.indices)
 
     @F.arrow_udf("double")
     def convert(value: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
@@ -71,6 +72,39 @@ def convert(value: Column, source: Column, target: Column) -> Column:
     return _functions()["convert"](value, source, target)
 
 
+def convert_fixed(value: Column, source: str, target: str) -> Column:
+    """A value from one named unit to another, both parsed once by the driver: a factor and an offset in the plan.
+
+    Null values stay null, and all are null where the units don't convert.
+    """
+    a, b = unit_core.parse(source), unit_core.parse(target)
+    if a is None or b is None or (start := unit_core.convert(0.0, a, b)) is None:
+        return F.lit(None).cast("double")
+    return value * F.lit(unit_core.convert(1.0, a, b) - start) + F.lit(start)
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    """(uri, dims, factor, plain) of every unit: fixed data of a few thousand rows; plain units convert by factors alone."""
+    rows = [(u.uri, unit_catalog.vector([int(d) if d == int(d) else d for d in u.dims]), float(u.factor), not (u.offset or u.currency) and bool(u.systems)) for u in unit_core.units().values() if u.factor is not None]
+    return spark.createDataFrame(rows, "uri string, dims string, factor double, plain boolean")
+
+
+def rescale(df: DataFrame, value: str, parts: str, target: str, out: str) -> DataFrame:
+    """`df` with `out`: the value, whose unit is a single linked part in column `parts`, in the units of `target`.
+
+    Factors come by a broadcast join with the fixed catalogue, no Python runs for it. Null where the unit isn't one
+    part of exponent 1 and of the target's dimensions, or has an offset or a currency (see `convert` for these).
+    """
+    to = unit_core.parse(target)
+    only = unit_core.units()[to[0].uri]
+    known = _catalog(df.sparkSession).where("plain").select(F.col("uri").alias("__uri"), F.col("dims").alias("__dims"), (F.col("factor") / float(only.factor)).alias("__ratio"))
+    one = F.get(F.col(parts), F.lit(0))
+    dims = unit_catalog.vector([int(d) if d == int(d) else d for d in only.dims])
+    joined = df.join(F.broadcast(known), one["uri"] == F.col("__uri"), "left")
+    good = (F.size(parts) == 1) & (one["exponent"] == 1) & (F.col("__dims") == dims)
+    return joined.select(*(df[c] for c in df.columns), F.when(good, F.col(value) * F.col("__ratio")).alias(out))
+
+
 def unit_info(parts: Column) -> Column:
     """Dimensions, factor, systems and whether it may be converted."""
     return _functions()["info"](parts)
