@@ -16,7 +16,7 @@ from measurelake.operators.unit_core import Part, parse as parse_unit
 _alt = lambda terms: "|".join(re.escape(t) for t in lexicon.longest_first(list(terms)))
 _DIGITS = r"\d+(?:[,' ]\d{3}(?!\d))*(?:[.,]\d+)*"
 _WORD = _alt([*lexicon.NUMBER_WORDS, *lexicon.MAGNITUDES])
-_ROW = rf"(?:(?:{_WORD})(?:(?:-| and | )(?:{_WORD}))*|{_alt(lexicon.STANDALONE)})"
+_ROW = rf"(?:(?:(?:{_WORD})[- ](?:and )?)*(?:{_WORD})|{_alt(lexicon.STANDALONE)})"
 _MAGNITUDE = _alt(lexicon.MAGNITUDES)
 _SCALED = rf"{_DIGITS}(?: ?[x×*∙⋅·] ?10\^ ?[-+]?\d+|\^[-+]?\d+| ?[-+]?{_DIGITS}/\d+|/\d+(?![\d.])| (?:{_MAGNITUDE})\b|(?:k|M|B)\b(?=\s*$))?"
 NUMBER = re.compile(rf"(?<![\w.,^])(?:[-+] ?)?{_SCALED}(?![\d])|\b(?:(?:an?|the) )?(?:{_alt(lexicon.IMPRECISE_QUANTITIES)})\b(?! than\b)|\b(?:{_ROW})\b", re.IGNORECASE)
