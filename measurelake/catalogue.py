@@ -74,16 +74,8 @@ def number_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", str2num(F.format_number(whole, 0)).cast("long").alias("number"))
 
 
-@query("SELECT c_custkey, (c_custkey % 79 + 21)::DOUBLE AS number FROM customer WHERE (c_custkey % 79 + 21) % 10 > 0 ")
-def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("c_custkey") % 79 + 21
-    tens = F.element_at(F.array(*map(F.lit, "twenty thirty forty fifty sixty seventy eighty ninety".split())), (n / 10).cast("int") - 1)
-    ones = F.element_at(F.array(*map(F.lit, "one two three four five six seven eight nine".split())), (n % 10).cast("int"))
-    return _table(spark, sf_dir, "customer").where(n % 10 > 0).select("c_custkey", str2num(F.concat(tens, F.lit("-"), ones)).alias("number"))
-
-
 @query("SELECT c_custkey, (c_custkey % 79 + 21)::DOUBLE AS number FROM customer")
-def number_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey") % 79 + 21
     tens = F.element_at(F.array(*map(F.lit, "twenty thirty forty fifty sixty seventy eighty ninety".split())), (n / 10).cast("int") - 1)
     ones = F.get(F.array(*map(F.lit, ["", *"-one -two -three -four -five -six -seven -eight -nine".split()])), (n % 10).cast("int"))
@@ -102,10 +94,9 @@ def number_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", _whole(str2num(rendered)).alias("number"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round((l_quantity::DOUBLE + 10 + (l_linenumber % 4) / 4.0) * 4)::BIGINT AS quarters FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity::DOUBLE + (l_linenumber % 4) / 4.0) * 4)::BIGINT AS quarters FROM lineitem")
 def number_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # above 10: normalization reads `10 3` as a power
-    rendered = F.concat((F.col("l_quantity").cast("int") + 10).cast("string"), F.lit(" "), (F.col("l_linenumber") % 4).cast("string"), F.lit("/4"))
+    rendered = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" "), (F.col("l_linenumber") % 4).cast("string"), F.lit("/4"))
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _whole(str2num(rendered) * 4).alias("quarters"))
 
 
@@ -127,6 +118,14 @@ def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT p_partkey, k NOT IN (3, 4, 5) AS number, k NOT IN (4, 5) AS number_or_imprecise, k = 3 AS imprecise, k IN (4, 6) AS constant, k IN (0, 1, 6) AS digit, k = 1 AS decimal FROM (SELECT p_partkey, p_partkey % 7 AS k FROM part)")
+def predicates_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _pick(F.col("p_partkey"), "it has 3 legs", "a length of 2.5 m", "a Trillion atoms", "a gazillion atoms", "the Planck constant", "no amount here", "the speed of light, 299 Mm/s")
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", T.contains_number(t).alias("number"), T.contains_number(t, imprecise=True).alias("number_or_imprecise"), T.is_imprecise(t).alias("imprecise"), T.contains_constant(t).alias("constant"), T.contains_digit(t).alias("digit"), T.contains_decimal(t).alias("decimal")
+    )
+
+
 @query("SELECT p_partkey, p_partkey % 3 <> 2 AS numeric, p_partkey % 3 = 0 AS with_zero FROM part")
 def is_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")

@@ -172,8 +172,10 @@ PHYSICAL_CONSTANTS = (
 )
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
+#: Names that the list above has only run together with others.
+_APART = ("sommerfeld's constant", "vacuum permittivity", "avogadro constant", "avogadro's constant", "gravitational constant", "newtonian constant of gravitation", "light-year", "stefan boltzmann constant", "cosmological constant", "planck constant", "universal gas constant", "faraday constant")
 #: Reduced gyromagnetic ratios are named in five ways for each particle.
-CONSTANTS = PHYSICAL_CONSTANTS + tuple(
+CONSTANTS = PHYSICAL_CONSTANTS + _APART + tuple(
     n
     for p in ("electron", "proton", "neutron")
     for n in (f"reduced {p} gyromagnetic ratio", f"{p} reduced gyromagnetic ratio", *(f"reduced {k} of the {p}" for k in ("gyromagnetic coefficient", "gyromagnetic ratio", "magnetogyric ratio")))

@@ -105,6 +105,25 @@ def rescale(df: DataFrame, value: str, parts: str, target: str, out: str) -> Dat
     return joined.select(*(df[c] for c in df.columns), F.when(good, F.col(value) * F.col("__ratio")).alias(out))
 
 
+def exchange(df: DataFrame, value: str, currency: str, year: str, target: str, target_year: int, cpi: DataFrame, fx: DataFrame, out: str) -> DataFrame:
+    """`df` with `out`: an amount of money of some year in the target currency of the target year.
+
+    `cpi` and `fx` hold (currency, year, rate): price levels, and rates to one common currency, each pair once. Prices
+    rise to the target year first, then the amount is exchanged at that year's rates. Null where a rate is missing.
+    The rates of the target year are few rows; levels are joined by (currency, year).
+    """
+    level = lambda n: cpi.select(F.col("currency").alias(f"__{n}c"), F.col("year").alias(f"__{n}y"), F.col("rate").alias(f"__{n}"))
+    now = fx.where(F.col("year") == target_year)
+    then, later = level("then"), level("later").where(F.col("__latery") == target_year)
+    own = now.select(F.col("currency").alias("__own_c"), F.col("rate").alias("__own"))
+    to = now.where(F.col("currency") == target).select(F.col("year").alias("__to_y"), F.col("rate").alias("__to"))
+    x = df.join(then, (F.col(currency) == F.col("__thenc")) & (F.col(year) == F.col("__theny")), "left").join(later, F.col(currency) == F.col("__laterc"), "left")
+    x = x.join(own, F.col(currency) == F.col("__own_c"), "left").join(to, F.lit(target_year) == F.col("__to_y"), "left")
+    price = F.when(F.col(year) == target_year, 1.0).otherwise(F.col("__later") / F.col("__then"))
+    rate = F.when(F.col(currency) == target, 1.0).otherwise(F.col("__own") / F.col("__to"))
+    return x.select(*(df[c] for c in df.columns), (F.col(value) * price * rate).alias(out))
+
+
 def unit_info(parts: Column) -> Column:
     """Dimensions, factor, systems and whether it may be converted."""
     return _functions()["info"](parts)

@@ -1 +1 @@
-"""Dataflows of several operators: building lookups, evaluating parses."""
+"""Relational dataflows: evaluation against a gold corpus, and the build of unit lookups."""

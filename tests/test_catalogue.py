@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from measurelake import catalogue
+from measurelake import catalogue, catalogue_plans  # noqa: F401  (its queries join the catalogue)
 
 DATA = "/root/testdata/sf0.001"
 
