@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +25,61 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have: `name`, longer by underscores if it must."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of `rows` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is set."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the context's own.
+
+    Where neither is set, a local session (tests) gets a temporary folder, and a cluster one in the warehouse, which
+    its executors share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared folder and read it again.
 
-    The files outlive lost executors; they are deleted when the driver ends.
+    The files outlive lost executors; they are deleted by `discard`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+#: Where each materialized DataFrame lies.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that `materialize` returned; nothing may read it, or what is made of it, again."""
+    _delete(df.sparkSession, _written.pop(df))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -1,34 +1,41 @@
 """N-gram Jaccard join: count vectors in an R-tree, and verification of what its bound lets through.
 
 Sets of word shingles are hashed into groups. Documents that link differ in few shingles, so in most groups they
-hold the very same ones: by the pigeonhole principle they share one of a few signatures (group and what it holds,
-largest groups first), and no link is lost. Documents that share a signature meet; there, points of group counts
-go into an R-tree, whose boxes bound the overlap by the summed minima of coordinates, and pairs within the bound
-are verified on the whole sets. Equal sets are one class from the start, and a class that is linked to the most
-central one it meets needs no further partner of that component: near copies by the thousand make a star of
-links, not all their pairs.
+hold the very same ones: by the pigeonhole principle they share one of a few signatures (group and what it holds),
+and no link is lost, in whatever order all sets look at their signatures. They look at those of rarely used hash
+buckets first, so a passage that many documents share is no meeting point. Sets that share signatures meet in
+blocks. There the counts of shingles in groups are points of an R-tree, whose boxes bound the overlap by the summed
+minima of coordinates; pairs within the bound are verified on the whole sets. Where a block has many such pairs, a
+spanning forest of them is verified first, and then only pairs that are still in different components: near copies
+by the thousand don't make all their pairs. Equal sets are one class from the start.
 """
 
+
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import materialize
+from measurelake.llm.common import discard, materialize, slices
 
-#: Coordinates of a count vector.
-COORDINATES = 32
+#: Coordinates of a count vector, at most.
+COORDINATES = 8192
 #: Largest set whose shingles are groups of their own.
 SINGLES = 16
-#: Bytes of text hashed at a time, and members of a signature's group compared in one task.
-BLOCK, MEMBERS = 1 << 20, 2048
-FANOUT = 16
+#: Bytes of text hashed at a time, rows handled at a time, and members of a group that are compared in one block.
+BLOCK, ROWS, MEMBERS = 1 << 18, 256, 1024
+#: Sons of a node; groups up to this size are compared without a tree; 64-bit words compared at a time.
+FANOUT, SMALL, CELLS = 32, 16, 1 << 18
+#: Buckets of the signature counts; rows above the mean from which a bucket is hot; parts of a hot signature.
+BUCKETS, HOT, SALTS = 1 << 16, 20_000, 64
+SEEDS = 8
+#: Bits of the mask of wanted documents: a broadcast of 65,536 rows of two numbers at most.
+MASK = 1 << 22
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,9 +156,14 @@ def _groups(level: int, least: tuple[int, int]) -> int:
     return 0 if level == 0 or load <= 0.5 else max(32, math.ceil((SINGLES << level) / load))
 
 
-def signatures(s: np.ndarray, least: tuple[int, int], seed: int) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, and whether they are enough to lose no link."""
-    out, enough = [], True
+def _level(n: int) -> int:
+    """The size class of a set: class 0 ends at SINGLES, each later one at twice the one before."""
+    return max(0, (n - 1) // SINGLES).bit_length()
+
+
+def signatures(s: np.ndarray, least: tuple[int, int], seed: int) -> list[tuple[int, int, np.ndarray]]:
+    """(size class, how many signatures must be looked at, all signatures) of a set, for each class where it meets others."""
+    out = []
     with np.errstate(over="ignore"):
         mixed = _mix(s, 100 + seed)
         for level, differ in _levels(len(s), least):
@@ -161,79 +173,274 @@ def signatures(s: np.ndarray, least: tuple[int, int], seed: int) -> tuple[np.nda
                 order = np.argsort(g, kind="stable")
                 g, x = g[order], mixed[order]
                 starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                sizes = np.diff(np.append(starts, len(g)))
                 sigs = _mix(np.add.reduceat(_mix(x, 9), starts) + g[starts] * _U(0x9E3779B97F4A7C15), level)
             else:
-                sizes, sigs = np.ones(len(s), np.int64), _mix(mixed, level)
-            enough &= len(sigs) > differ
-            out.append(sigs[np.lexsort((sigs, -sizes))[: differ + 1]])
-    return np.concatenate(out), enough
+                sigs = _mix(mixed, level)
+            out.append((level, differ + 1, sigs))
+    return out
+
+
+SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32()), ("sigs", pa.list_(pa.int64())), ("enough", pa.bool_())])
+
+
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers."""
+    with np.errstate(over="ignore"):
+        a, b = np.array([_mix(s, 1).sum(dtype=_U), _mix(s, 2).sum(dtype=_U)], _U).view(np.int64).tolist()
+        return a, b
 
 
 def _sketched(df: DataFrame, text: str, doc_id: str, n: int, least: tuple[int, int], seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, h1, h2, sigs, counts, enough = [], [], [], [], [], []
+        for batch in slices(batches, ROWS):
+            rows: list[tuple] = []
             for w in word_hashes(batch.column(1)):
                 s = shingle_set(w, n)
-                got, ok = signatures(s, least, seed) if len(s) else (s, True)
-                size.append(len(s))
-                with np.errstate(over="ignore"):
-                    h1.append(_mix(s, 1).sum(dtype=_U))
-                    h2.append(_mix(s, 2).sum(dtype=_U))
-                sigs.append(got.view(np.int64))
-                counts.append(np.bincount((s >> _U(11)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.int32))
-                enough.append(ok)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(h1, _U).view(np.int64)), pa.array(np.array(h2, _U).view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(enough, pa.bool_())],
-                ["doc", "n", "h1", "h2", "sigs", "counts", "enough"],
-            )
+                made = signatures(s, least, seed) if len(s) else []
+                need = [x[1] for x in made] + [0, 0]
+                sigs = np.concatenate([x[2] for x in made]).view(np.int64) if made else np.zeros(0, np.int64)
+                rows.append((len(s), *_names(s), len(made[0][2]) if made else 0, need[0], need[1], sigs, all(len(x[2]) >= x[1] for x in made)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), list(SKETCH)[1:], strict=True))], schema=SKETCH)
+
+    return df.select(F.col(doc_id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, own int, need0 int, need1 int, sigs array<long>, enough boolean")
+
+
+def _bucket_counts(sketches: DataFrame) -> np.ndarray:
+    """Signatures of the whole corpus in each of BUCKETS hash buckets; combined on the map side, fixed in size."""
+    got = sketches.where("n > 0").select(F.explode("sigs").alias("s")).groupBy(F.expr(f"cast(s & {BUCKETS - 1} as int)").alias("b")).count().collect()
+    out = np.zeros(BUCKETS, np.int64)
+    for b, count in got:
+        out[b] = count
+    return out
+
+
+def _prefixes(sketches: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(sig, salt, tag, h1): of each set and size class the signatures that must be looked at, those of rare buckets first.
+
+    tag is twice the size class, plus one where that isn't the set's own. salt splits signatures of hot buckets.
+    """
+    mean = counts.mean()
+    hot = counts > mean + 8 * np.sqrt(mean) + HOT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS):
+            h1, n, own, need0, need1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            lists = batch.column(5)
+            sigs, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            slot = (np.arange(len(sigs)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= own[row]).astype(np.int64)
+            part, bucket = 2 * row + slot, sigs & (BUCKETS - 1)
+            order = np.lexsort((sigs, counts[bucket], part))
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            rank = np.arange(len(part)) - np.repeat(first, np.diff(np.append(first, len(part))))
+            order = order[rank < np.where(slot, need1[row], need0[row])[order]]
+            level = np.array([_level(int(x)) for x in n], np.int64)
+            row, slot, sigs = row[order], slot[order], sigs[order]
+            salt = np.where(hot[bucket[order]], 1 + (h1[row] >> 8 & (SALTS - 1)), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(salt, pa.int32()), pa.array(2 * (level[row] + slot) + slot, pa.int32()), pa.array(h1[row])], ["sig", "salt", "tag", "h1"])
+
+    return sketches.where("n > 0").select("h1", "n", "own", "need0", "need1", "sigs").mapInArrow(run, "sig long, salt int, tag int, h1 long")
+
+
+def _groups_that_meet(sketches: DataFrame) -> DataFrame:
+    """(key, tag, h1): the sets that share a signature, one key for all signatures that the very same sets share.
+
+    A signature of a hot bucket is split by salt and stays a key of its own, without a look at who shares it.
+    """
+    rows = _prefixes(sketches, _bucket_counts(sketches)).repartition("sig", "salt")
+    of = Window.partitionBy("sig", "salt")
+    met = rows.withColumn("low", F.min("h1").over(of)).withColumn("high", F.max("h1").over(of)).where("salt > 0 OR low < high")
+    met = met.groupBy("sig", "salt", "tag", "h1").agg(F.lit(1).alias("one"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "h1")).over(of) for k in (1, 2)]
+    key = F.when(F.col("salt") > 0, F.col("sig")).otherwise(F.xxhash64(*same, F.shiftright("tag", 1)))
+    # sets that are all smaller than the class meet in their own
+    met = met.withColumn("least", F.min(F.col("tag") % 2).over(of)).withColumn("key", key).where("salt > 0 OR least = 0")
+    return met.select("key", "tag", "h1").distinct()
 
-    return df.select(F.col(doc_id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, sigs array<long>, counts array<int>, enough boolean")
+
+def _coordinates(level: int) -> tuple[int, int]:
+    """Coordinates of the count vectors of a size class, and to what count each is written."""
+    end = SINGLES << level
+    load = end / min(4 * end, COORDINATES)
+    return min(4 * end, COORDINATES), 2 if load <= 0.25 else min(32, math.ceil(load + 2.5 * math.sqrt(load)) + 1)
+
+
+def count_vector(s: np.ndarray, level: int) -> tuple[bytes, int]:
+    """Group counts of a set in unary, bit by bit, so that the summed minima of two are the bits of their AND; and what is beyond."""
+    size, depth = _coordinates(level)
+    counts = np.bincount((s >> _U(11)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits(counts > np.arange(depth)[:, None]).tobytes(), int((counts - depth).clip(0).sum())
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
-    """(rep, set) of (rep, text)."""
+    """(rep, h1, set, n, and for its own size class and the next: bits, excess) of (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(w, n).view(np.int64) for w in word_hashes(batch.column(1))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["rep", "set"])
+        for batch in slices(batches, ROWS):
+            sets = [shingle_set(w, n) for w in word_hashes(batch.column(1))]
+            own, later = ([count_vector(s, _level(len(s)) + k) for s in sets] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_names(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
+                + [pa.array([x[k] for x in y], (pa.binary(), pa.int64())[k]) for y in (own, later) for k in (0, 1)],
+                ["rep", "h1", "set", "n", "bits0", "excess0", "bits1", "excess1"],
+            )
 
-    return df.mapInArrow(run, "rep long, set array<long>")
+    return df.mapInArrow(run, "rep long, h1 long, set array<long>, n long, bits0 binary, excess0 long, bits1 binary, excess1 long")
 
 
 class RTree:
-    """Static R-tree over count vectors, packed by size and then by the heaviest coordinates."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((points.argmax(axis=1), sizes))
-        high, low = points[self.order], sizes[self.order]
-        self.levels = [(high, low)]
-        while len(high) > FANOUT:
-            at = np.arange(0, len(high), FANOUT)
-            high, low = np.maximum.reduceat(high, at), np.minimum.reduceat(low, at)
-            self.levels.append((high, low))
-
-    def search(self, point: np.ndarray, size: int, least: tuple[int, int]) -> np.ndarray:
-        """Points whose overlap with this one can be enough: t * (a + b) <= (t + of) * overlap."""
+    """Static R-tree over count vectors in unary bits, packed by size: a box has the OR of its points and their range of sizes."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, excess: np.ndarray):
+        self.order = np.lexsort((np.bitwise_count(bits).argmax(axis=1), sizes))
+        node = (bits[self.order], sizes[self.order], sizes[self.order], excess[self.order])
+        self.levels = [node]
+        while len(node[0]) > FANOUT:
+            at = np.arange(0, len(node[0]), FANOUT)
+            node = tuple(f.reduceat(x, at) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), node))
+            self.levels.append(node)
+
+    def search(self, bits: np.ndarray, sizes: np.ndarray, excess: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+        """Matrix (queries, points) of whether the overlap can be enough: t * (a + b) <= (t + of) * overlap."""
+        out = np.zeros((len(bits), len(self.order)), bool)
+        step = max(1, CELLS // (FANOUT * bits.shape[1]))
+        for at in range(0, len(bits), step):
+            self._descend(len(self.levels) - 1, 0, len(self.levels[-1][0]), np.arange(at, min(len(bits), at + step)), bits, sizes, excess, least, out)
+        return out
+
+    def _descend(self, depth: int, start: int, end: int, q: np.ndarray, bits: np.ndarray, sizes: np.ndarray, excess: np.ndarray, least: tuple[int, int], out: np.ndarray) -> None:
         t, of = least
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            high, low = self.levels[depth]
-            bound = np.minimum(high[nodes], point).sum(axis=1)
-            nodes = nodes[t * (size + low[nodes]) <= (t + of) * bound]
-            if depth:
-                nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
-        return self.order[nodes]
+        high, low, top, more = (x[start:end] for x in self.levels[depth])
+        bound = np.bitwise_count(bits[q][:, None] & high).sum(axis=2, dtype=np.int64) + np.minimum(excess[q][:, None], more)
+        bound = np.minimum(bound, np.minimum(sizes[q][:, None], top))
+        fits = t * (sizes[q][:, None] + low) <= (t + of) * bound
+        if depth == 0:
+            out[q[:, None], self.order[start:end]] = fits
+            return
+        below = len(self.levels[depth - 1][0])
+        for k in np.flatnonzero(fits.any(axis=0)).tolist():
+            first = (start + k) * FANOUT
+            self._descend(depth - 1, first, min(below, first + FANOUT), q[fits[:, k]], bits, sizes, excess, least, out)
+
+
+def _forest(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a breadth-first forest of a symmetric matrix, from vertices of many neighbours on."""
+    left, degree = adjacent.any(axis=0), adjacent.sum(axis=0)
+    a, b = [], []
+    for root in np.argsort(-degree, kind="stable").tolist():
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            new = np.flatnonzero(adjacent[front].any(axis=0) & left)
+            a.append(front[adjacent[np.ix_(front, new)].argmax(axis=0)])
+            b.append(new)
+            left[new] = False
+            front = new
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _compared(members: DataFrame, least: tuple[int, int], whole: bool) -> DataFrame:
+    """(a, b, key) of members (key, x, y, mine, rep, component, slot, n, excess, bits), dealt and sorted by key, x, y.
+
+    Pairs of different components whose count vectors pass the bound. Of a block with many of them a spanning forest
+    unless `whole`, and a row (null, null, key) that says so.
+    """
+
+    def block(p: dict[str, np.ndarray], bits: np.ndarray, i: np.ndarray) -> Iterator[tuple]:
+        x, y = p["x"][i[0]], p["y"][i[0]]
+        left, right = i[p["mine"][i] == x], i[p["mine"][i] == y]
+        if not len(left) or not len(right):
+            return
+        tree = RTree(bits[right], p["n"][right], p["excess"][right])
+        hits = tree.search(bits[left], p["n"][left], p["excess"][left], least)
+        hits &= (p["component"][left][:, None] != p["component"][right]) & ((p["slot"][left] == 0)[:, None] | (p["slot"][right] == 0))
+        if x == y:
+            hits &= np.arange(len(left))[:, None] < np.arange(len(right))
+        if whole or hits.sum() <= 2 * len(i):
+            a, b = np.nonzero(hits)
+            yield p["rep"][left[a]], p["rep"][right[b]], None
+            return
+        if x == y:
+            a, b = _forest(hits | hits.T)
+            yield p["rep"][left[a]], p["rep"][left[b]], p["key"][i[0]]
+        else:
+            both, k = np.zeros((len(left) + len(right),) * 2, bool), len(left)
+            both[:k, k:] = hits
+            both[k:, :k] = hits.T
+            a, b = _forest(both)
+            at = np.append(left, right)
+            yield p["rep"][at[a]], p["rep"][at[b]], p["key"][i[0]]
+
+    def small(p: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple]:
+        """All groups of the same small size at once; no tree is needed."""
+        t, of = least
+        u, v = np.triu_indices(size, 1)
+        step = max(1, CELLS // (len(u) * bits.shape[1]))
+        for at in range(0, len(starts), step):
+            a, b = ((starts[at : at + step, None] + w).ravel() for w in (u, v))
+            bound = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(p["excess"][a], p["excess"][b])
+            bound = np.minimum(bound, np.minimum(p["n"][a], p["n"][b]))
+            ok = (t * (p["n"][a] + p["n"][b]) <= (t + of) * bound) & (p["component"][a] != p["component"][b]) & ((p["slot"][a] == 0) | (p["slot"][b] == 0))
+            yield p["rep"][a[ok]], p["rep"][b[ok]], None
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+        p = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "x", "y", "mine", "rep", "component", "slot", "n", "excess")}
+        change = np.append(True, (p["key"][1:] != p["key"][:-1]) | (p["x"][1:] != p["x"][:-1]) | (p["y"][1:] != p["y"][:-1]))
+        starts = np.flatnonzero(change)
+        sizes = np.diff(np.append(starts, len(change)))
+        raw = batch.column("bits")
+        width = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1])
+        for w in np.unique(width[starts]).tolist():
+            of_width = np.flatnonzero(width == w)
+            place = np.full(len(width), -1)
+            place[of_width] = np.arange(len(of_width))
+            bits = np.frombuffer(b"".join(raw.take(pa.array(of_width)).to_pylist()), np.uint64).reshape(len(of_width), -1)
+            q = {name: x[of_width] for name, x in p.items()}
+            mine = width[starts] == w
+            first, many = place[starts[mine]], sizes[mine]
+            for size in np.unique(many).tolist():
+                at = first[many == size]
+                if 2 <= size <= SMALL:
+                    alone = q["x"][at] == q["y"][at]
+                    yield from small(q, bits, at[alone], size)
+                    at = at[~alone]
+                for s in at.tolist() if size > 1 else ():
+                    yield from block(q, bits, np.arange(s, s + size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for a, b, key in groups(batch):
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64())], ["a", "b", "key"])
+
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            k, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "x", "y"))
+            last = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[-1]
+            rest = batch.slice(int(last))
+            if last:
+                yield from made(batch.slice(0, int(last)))
+        if rest is not None:
+            yield from made(rest)
+
+    return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, key long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): the least node reachable.
 
     Least labels spread over the edges and then to the labels' labels, so chains halve; minima combine on the map
-    side, whatever a node's degree. Each round is written to the shared folder.
+    side, whatever a node's degree. Each round is written to the shared folder, and the one before is dropped.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
@@ -242,9 +449,22 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         new = materialize(step.join(jump, "next").select("node", F.least("next", "far").alias("component"), "was"), "labels")
+        discard(labels)
         if new.where("component < was").isEmpty():
-            return new.drop("was")
-        labels = new.drop("was")
+            discard(both)
+            return new.select("node", "component")
+        labels = new
+
+
+def _may_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` whose key may be a `doc` of `wanted`: all that are, and those that share a bit of MASK with one.
+
+    The mask is a broadcast of MASK / 64 rows at most, whatever the tables' size; it keeps rows out of the shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MASK))
+    masks = wanted.select(bit(F.col("doc")).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    own = df.withColumn("bit", bit(F.col(key)))
+    return own.join(F.broadcast(masks), F.shiftright("bit", 6).cast("int") == F.col("word")).where(F.expr("shiftrightunsigned(mask, cast(bit & 63 as int)) & 1 = 1")).select(*df.columns)
 
 
 def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4, least: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -252,60 +472,62 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
 
     Two documents link when of * intersection >= t * union for least = (t, of). Null and empty texts have an empty
     set and link with nothing; fewer than n words are one shingle. doc_id is an integer; rows without one keep a
-    null component. Rows that repeat a doc_id are one document, and all its texts' links are its own. An empty table
-    gives an empty result; other columns are not read.
+    null component. Rows that repeat a doc_id are one document, and all its texts' links are its own. Texts of any
+    length are read whole. An empty table gives an empty result; other columns are not read.
     """
-    for seed in range(8):
+    for seed in range(SEEDS):
         docs = materialize(_sketched(df, text, doc_id, n, least, seed), "sketches")
         if docs.where("NOT enough").isEmpty():  # else a set's shingles fell into too few groups: below 1e-11 a document
             break
-    classes = docs.where("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.min_by(F.struct("n", "sigs", "counts"), "doc").alias("x"))
-    classes = materialize(classes.select("h1", "h2", "rep", "x.*"), "classes")
-
-    same = Window.partitionBy("sig")
-    shared = classes.select("rep", F.explode(F.array_distinct("sigs")).alias("sig")).repartition("sig").withColumn("members", F.count("*").over(same)).where("members > 1")
-    shared = materialize(shared, "shared")
-    sets = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(shared.select("rep").distinct(), "rep", "left_semi")
-    sets = materialize(_sets(sets, n), "sets")
+        discard(docs)
+    else:
+        raise RuntimeError("a set has too few groups under every seed")
+    known = docs.where("doc IS NOT NULL")
+    groups = materialize(_groups_that_meet(known), "groups")
+    named = materialize(known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "classes")
+    labelled = materialize(docs.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc", "n", "h1", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")), "labelled")
+    discard(docs)
+    reps = labelled.where("doc = rep AND n > 0").select("h1", "rep").distinct()
+    groups = materialize(groups.join(reps, "h1").select("key", "tag", "rep", "h1").distinct(), "members")
+
+    # the sets of those that meet, and their count vectors
+    wanted = groups.select(F.col("rep").alias("doc")).distinct()
+    own = Window.partitionBy("rep", F.xxhash64("text")).orderBy(F.lit(0))
+    texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("text IS NOT NULL")
+    # not a semi-join: that would be pushed below the mask
+    texts = _may_hold(texts, "rep", wanted).join(wanted.withColumnRenamed("doc", "rep"), "rep")
+    sets = materialize(_sets(texts.withColumn("copy", F.row_number().over(own)).where("copy = 1").select("rep", "text"), n), "sets")
+
+    def candidates(groups: DataFrame, whole: bool) -> DataFrame:
+        sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
+        slot = F.col("tag") % 2
+        dealt = groups.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        vector = sets.select("rep", "h1", "n", "bits0", "excess0", "bits1", "excess1")
+        dealt = dealt.join(vector, ["rep", "h1"]).select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", slot.alias("slot"), "n", F.when(slot == 0, F.col("excess0")).otherwise(F.col("excess1")).alias("excess"), F.when(slot == 0, F.col("bits0")).otherwise(F.col("bits1")).alias("bits"))
+        return _compared(dealt, least, whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+        used = _may_hold(sets.select("rep", "set"), "rep", ids)
+        x = pairs.join(used.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(used.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
         common = F.size(F.array_intersect("set_a", "set_b"))
         t, of = least
-        return x.where((t + of) * common.cast("long") >= t * (F.size("set_a") + F.size("set_b")).cast("long")).select("a", "b")
-
-    # each class and the most central one that it meets, for each signature
-    central = shared.groupBy("rep").agg(F.sum("members").alias("central"))
-    hub = F.max(F.struct("central", (-F.col("rep")).alias("minus"))).over(same)
-    star = shared.join(central, "rep").withColumn("hub", -hub["minus"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = materialize(verified(star), "star")
-    found = components(edges)
-
-    # members of a signature that are still apart: all of them against each other, in blocks
-    met = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = met.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).where("low < high")
-    apart = apart.withColumn("k", F.row_number().over(same.orderBy("component", "rep")) - 1).withColumn("blocks", F.ceil(F.count("*").over(same) / MEMBERS).cast("int"))
-    apart = apart.withColumn("mine", F.floor(F.col("k") / MEMBERS).cast("int")).join(classes.select("rep", "n", "counts"), "rep")
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", "n", "counts")
-    rest = apart.groupBy("sig", "x", "y").applyInPandas(lambda p: _compare(p, least), "a long, b long").distinct()
-    more = materialize(verified(rest), "rest")
-    if not more.isEmpty():
-        found = components(edges.unionByName(more))
-
-    named = materialize(classes.select("h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "named")
-    return docs.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))).alias("component"))
-
-
-def _compare(p: pd.DataFrame, least: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of one block, or of two blocks, of different components and within the R-tree's bound."""
-    x, y = p["x"].iloc[0], p["y"].iloc[0]
-    left, right = p[p["mine"] == x], p[p["mine"] == y]
-    points, sizes = np.vstack(right["counts"].to_numpy()), right["n"].to_numpy()
-    tree, reps, comps = RTree(points, sizes), right["rep"].to_numpy(), right["component"].to_numpy()
-    a, b = [], []
-    for rep, comp, size, point in zip(left["rep"], left["component"], left["n"], left["counts"], strict=True):
-        hits = tree.search(np.asarray(point), size, least)
-        hits = hits[(comps[hits] != comp) & ((reps[hits] > rep) | (x != y))]
-        a += [rep] * len(hits)
-        b += reps[hits].tolist()
-    return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        return x.where((t + of) * common.cast("long") >= t * (F.size("set_a") + F.size("set_b")).cast("long")).select("a", "b").distinct()
+
+    found = materialize(candidates(groups.withColumn("component", F.col("rep")), False), "candidates")
+    # texts of one document belong together
+    of_doc = labelled.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
+    of_doc = of_doc.join(labelled.where("n > 0"), "doc").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    edges = materialize(verified(materialize(found.where("a < b").select("a", "b").distinct(), "pairs")).unionByName(of_doc), "links")
+    linked = components(edges)
+
+    # blocks with more pairs than were looked at: all their pairs that are still apart
+    open_groups = groups.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
+    if not open_groups.isEmpty():
+        apart = open_groups.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rest = materialize(candidates(apart, True).select("a", "b").where("a < b").distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "rest")
+        more = materialize(verified(rest), "links")
+        if not more.isEmpty():
+            linked = components(edges.unionByName(more))
+    out = labelled.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc", "n", F.coalesce("component", "rep").alias("component"))
