@@ -2,17 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs; all but the last return the columns of documents. Rows without doc_id pass the stages that need one
-unchanged, and drop out where documents are compared or mixed; a null or empty text is a document without words.
+unchanged, and drop out where documents are compared or mixed; a null or empty text is a document without words, texts
+of any length are read whole. Other columns pass whatever their names; an empty table passes every stage empty.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from measurelake.llm import bpe, jaccard, linededup, mixing, quality
-from measurelake.llm.common import materialize, table, words
+from measurelake.llm.common import discard, materialize, table, unused, words
 
 #: Scores under this are rejected.
 LEAST_SCORE = 0.3
@@ -20,9 +21,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; learned from `labels`."""
+    """Documents that the quality classifier doesn't reject; learned from `labels`. Repeated rows are judged alike."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns), name="__score").where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    score = unused(docs, "__score")
+    return quality.score(docs, model, keep=tuple(docs.columns), name=score).where(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +34,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by a similarity of 0.8 on five-word shingles."""
+    """One document, that of the smallest doc_id, of each group linked by a similarity of 0.8 on five-word shingles.
+
+    Of rows that repeat a doc_id the one of the least text stays; null and empty texts link with nothing.
+    """
     kept = jaccard.link(docs, n=5, least=(80, 100)).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    own = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *(F.xxhash64(c) for c in docs.columns if c not in ("doc_id", "text")))
+    place = unused(docs, "__place")
+    return docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(own)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to whole copies: 0 to 3."""
+    """Documents as often as the mix takes them, to whole copies: 0 to 3. Texts without words go; repeated rows are one document."""
+    copied, copy = unused(docs, "__copies"), unused(docs, "__copy")
     taken = mixing.mix(docs).where("2 * taken >= size AND size > 0")
-    copies = taken.groupBy("doc", "version").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
+    copies = taken.groupBy("doc", "version").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(copied))
     out = docs.join(copies, (docs["doc_id"] == copies["doc"]) & (F.xxhash64(docs["text"]) == copies["version"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copied)))).select(*(docs[c] for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +66,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        before, docs = docs, materialize(out, f"stage-{name}")
+        if k:
+            discard(before)
