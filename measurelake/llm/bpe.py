@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -21,6 +22,10 @@ from pyspark.sql import DataFrame
 
 #: The pre-split of the public rank files (public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Its alternatives where all code points are under U+0100: letters, numbers and white space there, one by one.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+REPLACED = "\ufffd".encode()
 MAX_ARCS = 300_000
 MAX_PIECES = 200_000
 MAX_PAIRS = 400_000
@@ -36,19 +41,19 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_arcs: int = MAX_ARCS):
         self.ranks, self.max_arcs = ranks, max_arcs
         self.tokens = {v: k for k, v in ranks.items()}
-        #: The tokens' bytes as a tree: (node, byte) to node; the token that ends at a node, or -1; whether longer ones follow.
-        self.tree: dict[int, int] = {}
-        self.at, self.more = [-1], [True]
+        tree, at, more = {}, [-1], [True]
         for data, rank in ranks.items():
             node = 0
             for byte in data:
-                self.more[node] = True
-                below = self.tree.setdefault(node << 8 | byte, len(self.at))
-                if below == len(self.at):
-                    self.at.append(-1)
-                    self.more.append(False)
+                more[node] = True
+                below = tree.setdefault(node << 8 | byte, len(at))
+                if below == len(at):
+                    at.append(-1)
+                    more.append(False)
                 node = below
-            self.at[node] = rank
+            at[node] = rank
+        #: The tokens' bytes as a tree: (node, byte) to the node below, the token that ends there, or -1, and whether longer ones follow.
+        self.tree: dict[int, tuple[int, int, bool]] = {k: (node, at[node], more[node]) for k, node in tree.items()}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
@@ -112,26 +117,28 @@ class Transducer:
                 before, right = right + 1, b
 
     def _arc(self, k: int, byte: int) -> tuple[int, bytes]:
-        tree, at, more = self.tree, self.at, self.more
+        get, known = self.tree.get, self.pairs.get
         live, path = [], None
         for node, last, before in self.states[k]:
-            below = tree.get(node << 8 | byte)
-            if below is not None:
-                if path is None and (token := at[below]) >= 0 and self._fits(last, token):
-                    path = (*before, token)
-                if more[below]:
+            step = get(node << 8 | byte)
+            if step is not None:
+                below, token, more = step
+                if token >= 0 and path is None:
+                    ok = known(last << 32 | token)
+                    if self._fits(last, token) if ok is None else ok:
+                        path = (*before, token)
+                if more:
                     live.append((below, last, before))
         if path is None:
             raise ValueError("a byte is missing in the ranks")
         # what all continuations have behind them is decided
         decided = len(path)
         for _, _, before in live:
-            same = 0
-            for a, b in zip(before, path):
-                if a != b:
-                    break
-                same += 1
-            decided = min(decided, same)
+            decided = min(decided, len(before))
+            while decided and before[:decided] != path[:decided]:
+                decided -= 1
+            if not decided:
+                break
         live.append((0, path[-1], path))
         if not decided:
             return self._state(tuple(live)), b""
@@ -165,7 +172,7 @@ class Transducer:
 class Utf8Machine(dict):
     """Incremental decoder: the state is the start of an unfinished character; arcs are tokens, made when first met.
 
-    `self[token]` is (next state, characters completed). Bytes that no character can hold become U+FFFD each.
+    `self[token]` is (next state, bytes of the characters completed). Bytes that no character can hold become U+FFFD each.
     """
 
     def __init__(self, vocabulary: dict[int, bytes], begun: bytes = b"", made: dict | None = None):
@@ -173,7 +180,7 @@ class Utf8Machine(dict):
         self.made = {} if made is None else made
         self.made[begun] = self
 
-    def __missing__(self, token: int) -> tuple[Utf8Machine, str]:
+    def __missing__(self, token: int) -> tuple[Utf8Machine, bytes]:
         data, out, i = self.begun + self.vocabulary[token], [], 0
         while i < len(data):
             lead = data[i]
@@ -182,13 +189,31 @@ class Utf8Machine(dict):
             good = size and all(0x80 <= x < 0xC0 for x in part[1:]) and not (len(part) > 1 and (lead == 0xE0 and part[1] < 0xA0 or lead == 0xED and part[1] > 0x9F or lead == 0xF0 and part[1] < 0x90 or lead == 0xF4 and part[1] > 0x8F))
             if good and len(part) < size:
                 break
-            out.append(part.decode() if good else "�")
+            out.append(part if good else REPLACED)
             i += size if good else 1
         rest = data[i:]
-        step = self[token] = (self.made.get(rest) or Utf8Machine(self.vocabulary, rest, self.made), "".join(out))
+        step = self[token] = (self.made.get(rest) or Utf8Machine(self.vocabulary, rest, self.made), b"".join(out))
         return step
 
 
+class Pieces(dict):
+    """Encoded pieces, in two generations: pieces of the older one that are met again move to the younger."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        self.encode_piece, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece.encode())
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Texts to packed ids and back."""
 
@@ -196,42 +221,28 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.vocabulary = {v: k for k, v in ranks.items()}
         self.start = Utf8Machine(self.vocabulary)
-        self.split = regex.compile(pattern).findall
-        self.split_iter = regex.compile(pattern).finditer
-        #: Encoded pieces, in two generations: pieces of the older one that are met again move to the younger.
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.split = regex.compile(pattern)
+        # the same pattern over code points up to U+00FF, where its classes are few characters
+        self.latin = re.compile(LATIN) if pattern == PATTERN else None
+        self.pieces = Pieces(self.transducer.encode)
 
     def encode(self, text: str) -> bytes:
-        out: list[bytes] = []
-        get, put = self.pieces.get, out.append
-        for piece in self.split(text) if len(text) < 1_000_000 else (m.group() for m in self.split_iter(text)):
-            ids = get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                get = self.pieces.get
-            put(ids)
-        return b"".join(out)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.transducer.encode(piece.encode())
-        if len(piece) <= CACHED_CHARS:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces, self.older = {}, self.pieces
-            self.pieces[piece] = ids
-        return ids
-
-    def decode(self, packed: bytes) -> str:
+        split = self.split
+        if self.latin and (text.isascii() or max(text) < "\u0100"):
+            split = self.latin
+        pieces = split.findall(text) if len(text) < 1_000_000 else (m.group() for m in split.finditer(text))
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def decode(self, packed: bytes) -> bytes:
+        """UTF-8 bytes of ids."""
         state, out = self.start, []
         put = out.append
         for token in memoryview(packed).cast("I"):
-            state, text = state[token]
-            put(text)
+            state, done = state[token]
+            put(done)
         if state.begun:
-            put("�")
-        return "".join(out)
+            put(REPLACED)
+        return b"".join(out)
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -258,8 +269,9 @@ COLUMNS = {"n_tokens": ("long", pa.int64()), "ids": ("binary", pa.binary()), "de
 def encode_documents(df: DataFrame, ranks: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids"), pattern: str = PATTERN, block: int = 256) -> DataFrame:
     """Encode whole texts and decode the ids again: the columns `keep` and `outputs` (of COLUMNS) of each row.
 
-    A null text counts as empty: no ids, the digests of no bytes. Rows are never joined or dropped; repeated rows
-    stay repeated, other columns are not read. Map only: no shuffle. A lost executor's part is computed anew.
+    A null text counts as empty: no ids, the digests of no bytes; texts of any length are read whole. Rows are never
+    joined or dropped; repeated rows stay repeated, an empty table stays empty, other columns are not read. Map only:
+    no shuffle. A lost executor's part is computed anew.
     """
     fields = [df.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} {COLUMNS[c][0]}" for c in outputs)])
@@ -272,9 +284,9 @@ def encode_documents(df: DataFrame, ranks: bytes, text: str = "text", keep: tupl
                 made: dict[str, list] = {c: [] for c in outputs}
                 for value in batch.column(len(keep)):
                     ids = codec.encode(value.as_py() or "")
-                    back = codec.decode(ids) if "decoded" in made or "decoded_sha256" in made else ""
+                    back = codec.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
                     for c, put in made.items():
-                        put.append(len(ids) // 4 if c == "n_tokens" else ids if c == "ids" else back if c == "decoded" else hashlib.sha256(ids if c == "ids_sha256" else back.encode()).hexdigest())
+                        put.append(len(ids) // 4 if c == "n_tokens" else ids if c == "ids" else back.decode() if c == "decoded" else hashlib.sha256(ids if c == "ids_sha256" else back).hexdigest())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(made[c], COLUMNS[c][1]) for c in outputs)], [*keep, *outputs])
 
     return df.select(*keep, text).mapInArrow(run, schema)
