@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from measurelake.catalogue import _pick, _table, query
 from measurelake.functions import formatting as N
+from measurelake.operators.candidates import interpret, tokens
 from measurelake.operators.modifiers import with_modifiers
 from measurelake.operators.units import exchange
 from measurelake.plans import evaluation, lookups
@@ -84,6 +85,23 @@ def currency_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange(rows, "v", "c", "y", "USD", 2020, cpi, fx, "amount").select("o_orderkey", F.round("amount", 6).alias("amount"))
 
 
+# ---- readings
+
+
+@query("SELECT p_partkey, p_size || '|-|' || (p_size + 3) || '| |kg' AS tokens FROM part")
+def quantity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 3).cast("string"), F.lit(" kg"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(tokens(text), "|").alias("tokens"))
+
+
+@query("SELECT CASE k WHEN 0 THEN 'single_quantity' WHEN 1 THEN 'range' WHEN 2 THEN 'list' WHEN 3 THEN 'ratio' ELSE 'multidim' END AS type, CASE k WHEN 0 THEN 'msnsu' WHEN 1 THEN 'nsrsnsu' WHEN 2 THEN 'nslsnsu' WHEN 3 THEN 'nsqsn' ELSE 'nsxsnsxsnsu' END AS roles, CASE k WHEN 0 THEN 1 WHEN 4 THEN 3 ELSE 2 END::INT AS quantities, count(*) AS n FROM (SELECT p_partkey % 5 AS k FROM part) GROUP BY ALL")
+def quantity_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("p_size").cast("string"), (F.col("p_size") + 12).cast("string")
+    text = F.concat_ws(" ", *(F.element_at(F.array(*x), (F.col("p_partkey") % 5 + 1).cast("int")) for x in ((F.lit("about"), a, a, a, F.concat(a, F.lit(" x"))), (a, F.lit("to"), F.lit("and"), F.lit("out of"), b), (F.lit("kg"), F.concat(b, F.lit(" kg")), F.concat(b, F.lit(" kg")), b, F.concat(F.lit("x "), b, F.lit(" mm"))))))
+    r = interpret(_table(spark, sf_dir, "part"), text, "r")
+    return r.groupBy("r.type", "r.roles", "r.quantities").agg(F.count("*").alias("n"))
+
+
 # ---- evaluation
 
 
