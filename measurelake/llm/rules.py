@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import let, materialize, words
+from measurelake.llm.common import let, materialize, unused, words
 
 BINS = 24
 RULES = 8
@@ -187,12 +187,16 @@ def apply_rules(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     Learned from the rows that `labels` (doc_id, label) covers. Null and empty texts have no words and fail the
     base rules, as do texts under 10 words or with over a fifth of their words in repeated windows. Rows that
     repeat are judged alike; rows without doc_id are judged but not learned from. An empty table gives an empty
-    result, no labels a list without rules. Other columns are not read.
+    result, no labels a list without rules; of labels that differ for one doc_id the least counts. Texts of any length
+    are read whole. Other columns are not read.
     """
-    stats = materialize(with_statistics(df.select(*{*keep, doc_id, text}), text, "__").drop(*({text} - {*keep})), "statistics")
-    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).dropDuplicates(["__id"])
-    base = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
-    rules = learn(stats.where(~base).join(known, F.col(doc_id) == F.col("__id")), "__label", "__")
-    named = [F.col(f"__{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    by = verdict(rules, "__")
+    p, key, mark = "__", unused(df, "__id"), unused(df, "__label")
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    stats = materialize(with_statistics(df.select(*{*keep, doc_id, text}), text, p).drop(*({text} - {*keep})), "statistics")
+    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias(key), F.col(label).alias(mark)).groupBy(key).agg(F.min(mark).alias(mark))
+    base = (F.col(f"{p}n_words") < 10) | (100 * F.col(f"{p}n_repeat_words") > 20 * F.col(f"{p}n_words"))
+    rules = learn(stats.where(~base).join(known, F.col(doc_id) == F.col(key)), mark, p)
+    named = [F.col(f"{p}{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    by = verdict(rules, p)
     return stats.select(*keep, *named, base.alias("base_failed"), F.when(~base, by).alias("rejected_by"), (~base & by.isNull()).alias("kept"))
