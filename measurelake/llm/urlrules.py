@@ -50,7 +50,9 @@ def mine(df: DataFrame, labels: DataFrame, support: float = 0.002, confidence: f
     """Rules as (tokens, share of bad labels, labelled URLs they fit), best first; none without labels.
 
     labels: (doc_id, quality, toxic), doc_id being a page_id; a page is bad if its quality is 0 or it is toxic.
-    Pages whose labels are all null are passed over; a page that repeats counts as often.
+    Pages whose labels are all null are passed over; a page that repeats counts as often. Fewer labelled pages than
+    `least`, or none that is bad, make no rules; nor do null URLs, and URLs of any length count whole. Where no token
+    says more about the labels than chance, as in tables whose URLs and labels are independent, no rule passes.
     """
     spark = df.sparkSession
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1) if bad is None else bad
@@ -59,10 +61,10 @@ def mine(df: DataFrame, labels: DataFrame, support: float = 0.002, confidence: f
     rows = df.where(F.col(url).isNotNull()).join(known, F.col(page_id) == F.col("__id")).select(F.array_append(tokens(F.col(url), host, path), F.when(F.col("__bad"), BAD).otherwise(GOOD)).alias("items"))
     rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism), "transactions")
     n = rows.count()
-    share = rows.where(F.array_contains("items", BAD)).count() / n if n else 0.0
+    share = rows.where(F.array_contains("items", BAD)).count() / n if n >= least else 0.0
     if not share:
         return []
-    sets = FPGrowth(itemsCol="items", minSupport=max(support, least / n)).fit(rows).freqItemsets.where(F.size("items") <= TOKENS)
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(rows).freqItemsets.where(F.size("items") <= TOKENS)
     both = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("hits"))
     every = sets.where(~F.array_contains("items", BAD) & ~F.array_contains("items", GOOD)).select(F.array_sort("items").alias("tokens"), "freq")
     rules = both.join(every, "tokens").withColumn("share", F.col("hits") / F.col("freq")).where(f"share >= {confidence} AND share >= {lift * share}")
@@ -96,6 +98,7 @@ def judge(df: DataFrame, mined: list[tuple[frozenset[str], float, int]], rules:
 
     The inverted index maps the rarest token of each mined rule to the rule, so a URL looks up its own tokens only.
     A URL that nothing fits is allowed. A null URL or one without `://` has no host and no path, and is allowed.
+    URLs of any length are read whole; rows that repeat are judged alike, and an empty table gives an empty result.
     Map only up to RULES mined ones, which are literals as the hand-written are; more are joined to the distinct URLs.
     """
     host, path = split_url(F.col(url))
