@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import materialize
+from measurelake.llm.common import materialize, slices, unused
 
 #: Labelled rows that a model is fitted on, at most (in expectation); chosen by hash of the document's id.
 SAMPLE = 24_000
 #: Partial sums of the normal equations that the driver adds.
 PARTS = 16
 FEATURES = 256
+#: Rows whose statistics are held at a time.
+BLOCK = 256
 SEED = 11
 NAMES = ("log_words", "word_length", "symbols", "capitals", "marks", "digits", "stops", "distinct", "stutter", "trigrams", "log_lines", "same_lines", "line_words")
 
@@ -66,7 +68,14 @@ class Model:
     chances: np.ndarray
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return fourier((stats - self.mean) / self.scale) @ self.weights
+        """Ridge scores, in padded blocks of one shape and rounded, so that a row's doesn't depend on its neighbours."""
+        out = np.empty(len(stats))
+        for at in range(0, len(stats), BLOCK):
+            block = np.zeros((BLOCK, stats.shape[1]))
+            part = stats[at : at + BLOCK]
+            block[: len(part)] = part
+            out[at : at + BLOCK] = (fourier((block - self.mean) / self.scale) @ self.weights)[: len(part)]
+        return out.round(10)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(stats), self.scores, self.chances)
@@ -101,7 +110,7 @@ def _statistics_of(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "stats array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BLOCK):
             stats = pa.array([statistics(x.as_py()) for x in batch.column(len(keep))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), stats], [*keep, "stats"])
 
@@ -115,9 +124,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model | None:
     """A model of the rows of `df` that `labels` (doc_id, label 0 or 1; nulls are passed over) covers.
 
-    Reads about SAMPLE labelled rows, chosen by a hash of doc_id; None if there is none.
+    Reads about SAMPLE labelled rows, chosen by a hash of doc_id; None if there is none. Of labels that differ for one
+    doc_id the least counts.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__id"])
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).groupBy("__id").agg(F.min("__y").alias("__y"))
     n = known.count()
     grain = 1 << 30
     cut = grain if n <= SAMPLE else math.ceil(grain * SAMPLE / n)
@@ -155,16 +165,17 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns `keep` and the score in [0, 1] of each whole text; map only.
 
-    Null and empty texts are scored by statistics that are all 0. Without a model every score is 0.5. Rows that
-    repeat have equal scores; columns that aren't kept are not read.
+    Null and empty texts are scored by statistics that are all 0; texts of any length are read whole. Without a model
+    every score is 0.5. Rows that repeat have equal scores; an empty table gives an empty result; columns that aren't
+    kept are not read.
     """
     keep = tuple(keep)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BLOCK):
             stats = np.array([statistics(x.as_py()) for x in batch.column(len(keep))], float).reshape(-1, len(NAMES))
             values = np.full(len(stats), 0.5) if model is None else model.score(stats)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(values, pa.float64())], [*keep, name])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(unused(df, "__text"))).mapInArrow(run, schema)
