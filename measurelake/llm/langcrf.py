@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that are learned from, over all languages, and the longest of them in characters; chosen by hash of the id.
-SAMPLE, LONGEST = 1600, 200_000
-LANGUAGES = 200
+from measurelake.llm.common import unused
+
+#: Texts that are learned from, over all languages, EACH of a language at least; chosen by hash of the id. Of a longer
+#: text than LONGEST characters, PIECES pieces are learned from that lie evenly over all of it.
+SAMPLE, EACH, LONGEST, PIECES = 1600, 8, 200_000, 20
 BUCKETS = 1 << 16
 #: Words of a sequence; longer texts are several.
 STEPS = 256
@@ -160,8 +162,9 @@ def learn(samples: list[tuple[str, str]], epochs: int = 3, batch: int = 128) ->
             cut = [(int(draw.integers(0, max(1, len(plain[j][0]) - 3))), int(draw.integers(3, 17))) for j in pick]
             spliced.append(tuple(np.concatenate([plain[j][c][a : a + m] for j, (a, m) in zip(pick, cut, strict=True)]) for c in (0, 1)))
         todo = [plain[i] for i in order] + spliced
+        todo = [todo[i] for i in draw.permutation(len(todo))]
         for first in range(0, len(todo), batch):
-            own = [todo[i] for i in draw.permutation(len(todo))[:batch]] if first == 0 else todo[first : first + batch]
+            own = todo[first : first + batch]
             sizes = np.array([len(x) for x, _ in own])
             steps = int(sizes.max())
             pad = np.zeros((len(own), steps), np.int64)
@@ -194,18 +197,20 @@ def learn(samples: list[tuple[str, str]], epochs: int = 3, batch: int = 128) ->
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
-    """A model of the rows of `df` with text and language: SAMPLE whole texts in expectation, as many of each language.
+    """A model of the rows of `df` with text and language: SAMPLE texts in expectation, as many of each language.
 
-    Of more than LANGUAGES languages the most common are learned; texts over LONGEST characters aren't learned from.
+    Every language is learned, from EACH texts at least if it has them. None if no row has text and language.
     """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").collect()  # one row for each language
     if not counts:
         return None
-    share = {r["lang"]: min(1.0, max(8, SAMPLE // len(counts)) / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, max(EACH, SAMPLE // len(counts)) / r["count"]) for r in counts}
     grain = 1 << 30
     cut = F.create_map(*(x for k, v in share.items() for x in (F.lit(k), F.lit(math.ceil(grain * v)))))
     picked = rows.where(F.pmod(F.xxhash64(F.lit(SEED), F.col(doc_id)), F.lit(grain)) < F.try_element_at(cut, F.col(lang))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (i * F.length("text") / PIECES + 1).cast("int"), F.lit(LONGEST // PIECES))), "\n")
+    picked = picked.withColumn("text", F.when(F.length("text") <= LONGEST, F.col("text")).otherwise(long))
     return learn([(r["text"], r["lang"]) for r in picked.toLocalIterator()])
 
 
@@ -214,7 +219,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
 
     Score: the mean probability of the language over the words. Null texts, texts without a letter, and all texts if
     there is no model, are `und` with score 0. Words are runs of letters, lower-cased; a sequence of the chain has
-    STEPS words at most. Map only; rows that repeat get equal results, other columns are not read.
+    STEPS words at most, and a text any number of sequences. Map only; rows that repeat get equal results, an empty
+    table gives an empty one, other columns are not read.
     """
     keep = tuple(keep)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double", *["word_langs array<string>"] * labels])
@@ -231,7 +237,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
                 arrays = [*(batch.column(i) for i in range(len(keep))), pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), *([pa.array(made[2], pa.list_(pa.string()))] if labels else [])]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", *["word_langs"] * labels])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(unused(df, "__text"))).mapInArrow(run, schema)
 
 
 def _predicted(model: Model | None, texts: list[str | None], labels: bool = False) -> tuple[list[str], list[float], list[list[str]]]:

@@ -42,7 +42,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.score(docs, quality.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 #: The hand-written rules that go before the mined ones.
@@ -64,7 +64,7 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     model = langcrf.fit(docs.where(~held_out))
-    return langcrf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langcrf.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
