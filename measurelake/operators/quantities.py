@@ -80,12 +80,19 @@ def _parse():
     return parse
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its scan has fewer parts than there are (a file of one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def parse_quantities(df: DataFrame, text: Column, out: str = "quantity") -> DataFrame:
     """`df` with the record of a quantity span in column `out`; null for null, type `unknown` without a number.
 
     The normalized text is generated as a column before the grammar reads it: so the function's argument is a plain
     attribute, and the function runs once a row however many fields of the record are used. Of equal spans in a batch
-    one is parsed, and workers keep what they have parsed; no rows are moved for it.
+    one is parsed, and workers keep what they have parsed. Rows are only moved where a scan has too few parts.
     """
+    df = _spread(df)
     lines = df.select("*", F.explode(F.array(normalize_quantity(text))).alias("__normalized"))
     return lines.select(*(df[c] for c in df.columns), _parse()(F.col("__normalized")).alias(out))
