@@ -24,7 +24,9 @@ from measurelake.llm.common import materialize
 #: Rows that the parts and the classifier are learned from, at most (in expectation); chosen by hash of the id.
 SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS, PROBES = 128, 76
+#: Sampled rows for each part, at least; every HELD_BACKth of the sample tells how many parts a query must go to so
+#: that TARGET of its neighbours lie there.
+PART_ROWS, HELD_BACK, TARGET = 32, 4, 0.93
 #: Candidates, and queries, that one task compares.
 BLOCK, QUERIES = 4096, 1024
 SEED = 3
@@ -94,38 +96,53 @@ def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 12) -> np.ndarra
 class Partitioner:
     weights: np.ndarray
     bias: np.ndarray
-    width: int
+    #: How many parts a query goes to.
+    probes: int
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """All parts for each unit vector, the most probable first."""
+        return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
 
-def fit(x: np.ndarray, parts: int = PARTS, steps: int = 300) -> Partitioner:
-    """Learn from vectors; few of them make few parts."""
-    width = x.shape[1] if x.ndim == 2 else 0
-    parts = max(1, min(parts, len(x) // 64))
+def fit(x: np.ndarray, parts: int, probes: int | None = None, steps: int = 400) -> Partitioner:
+    """Learn from vectors; few of them make few parts. Without `probes`, their number is learned too.
+
+    Part of the rows is held back: for these, the parts of their nearest others show how far down a query's list
+    TARGET of the neighbours are met. Neighbours in the sample are further off than those among all rows, so the
+    number errs on the side of recall.
+    """
+    parts = max(1, min(parts, len(x) // PART_ROWS))
     if parts == 1:
-        return Partitioner(np.zeros((width, 1)), np.zeros(1), width)
+        return Partitioner(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     graph = neighbour_graph(x)
+    held = np.arange(len(x)) % HELD_BACK == 0
+    seen = np.flatnonzero(~held)
     label = balanced_parts(graph, parts)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1.0)
     target[np.arange(len(x)), label] += graph.shape[1]
     target /= target.sum(axis=1, keepdims=True)
-    w, b = np.zeros((width, parts)), np.zeros(parts)
+    w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     draw = np.random.default_rng(SEED)
     for step in range(1, steps + 1):
-        own = draw.integers(0, len(x), 2048)
+        own = seen[draw.integers(0, len(seen), 1024)]
         z = x[own] @ w + b
         z = np.exp(z - z.max(axis=1, keepdims=True))
         d = (z / z.sum(axis=1, keepdims=True) - target[own]) / len(own)
+        rate = 0.3 * (1 - step / (steps + 1))
         for p, g, i in ((w, x[own].T @ d + 1e-6 * w, 0), (b, d.sum(axis=0), 2)):
             state[i] += 0.1 * (g - state[i])
             state[i + 1] += 0.01 * (g * g - state[i + 1])
-            p -= 0.3 * (state[i] / (1 - 0.9**step)) / (np.sqrt(state[i + 1] / (1 - 0.99**step)) + 1e-8)
-    return Partitioner(w, b, width)
+            p -= rate * (state[i] / (1 - 0.9**step)) / (np.sqrt(state[i + 1] / (1 - 0.99**step)) + 1e-8)
+    if probes is None:
+        order = Partitioner(w, b, 0).order(x)
+        place = np.empty_like(order)
+        place[np.arange(len(x))[:, None], order] = np.arange(parts)
+        met = place[np.flatnonzero(held)[:, None], order[graph[held], 0]]
+        probes = int(np.quantile(met, TARGET, method="higher")) + 1
+    return Partitioner(w, b, min(probes, parts))
 
 
 def valid(vector: Column) -> Column:
@@ -139,44 +156,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(df: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", parts: int = PARTS, probes: int = PROBES) -> DataFrame:
+def search(df: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", parts: int | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that `query` selects, by cosine.
 
-    All rows are candidates but those of the query's own id. Null, zero and non-finite vectors, those of another
-    length than the sample's most common one, and rows without an id take no part. Ties go to the smaller id; rows
-    that repeat count once. A query goes to its `probes` most probable parts, and on until they hold k others. With
-    fewer candidates than k, all are returned; an empty table gives an empty result. Other columns are not read.
+    All rows of the query's length are candidates but those of its own id. Null, zero and non-finite vectors and rows
+    without an id take no part. The commonest length is searched by learned partitions: as many `parts` as the square
+    root of its rows, as far as the sample allows; a query goes to its `probes` most probable ones, by default as many
+    as the sample asks for, and on until they hold k others. Vectors of each other length are a part of their own and
+    compared whole. Ties go to the smaller id; rows that repeat count once. With fewer candidates than k, all are
+    returned; an empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     rows = df.where(F.col(vec_id).isNotNull() & valid(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("is_query"))
-    n = rows.count()
+    common = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width, n = (common["w"], common["count"]) if common else (0, 0)
+    usual = rows.where(F.size("v") == width)
     cut = 1 << 30 if n <= SAMPLE else math.ceil((1 << 30) * SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < cut)
-    width = sample.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width["w"] if width else 0
-    got = sample.where(F.size("v") == width).select("v").toArrow()  # bounded by SAMPLE
-    model = fit(_matrix(got.column(0).combine_chunks()) if got.num_rows else np.zeros((0, width)), parts)
+    got = usual.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < cut).select("id", "v").toArrow().sort_by("id")  # bounded by SAMPLE
+    model = fit(_matrix(got.column(1).combine_chunks()) if got.num_rows else np.zeros((0, width)), parts or math.isqrt(n), probes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            order = np.argsort(-model.scores(x / np.linalg.norm(x, axis=1, keepdims=True)), axis=1, kind="stable").astype(np.int32)
+            order = model.order(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "is_query", "parts"])
 
-    dealt = rows.where(F.size("v") == width).mapInArrow(assign, "id long, v array<double>, is_query boolean, parts array<int>")
+    # an unusual length is part -length
+    dealt = usual.mapInArrow(assign, "id long, v array<double>, is_query boolean, parts array<int>").unionByName(rows.where(F.size("v") != width).withColumn("parts", F.array(-F.size("v"))))
     dealt = materialize(dealt.select("id", "v", "is_query", F.get("parts", F.lit(0)).alias("part"), F.when(F.col("is_query"), F.col("parts")).alias("parts")), "vectors")
-    sizes = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # one row for each part
+    sizes = {r["part"]: r["count"] for r in dealt.where("part >= 0").groupBy("part").count().collect()}  # one row for each learned part
     size_of = F.array(*(F.lit(sizes.get(p, 0)) for p in range(len(model.bias))))
     # the parts that a query goes to: the first `probes`, and on while they hold k others or fewer
-    reach = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")), lambda a, p: F.when((a["n"] < probes) | (a["sum"] <= k), F.struct((a["n"] + 1).alias("n"), (a["sum"] + F.get(size_of, p)).cast("long").alias("sum"))).otherwise(a), lambda a: a["n"])
-    asked = dealt.where("is_query").select("id", "v", F.explode(F.slice("parts", 1, reach)).alias("part"))
-    asked = materialize(asked.withColumn("salt", F.xxhash64(F.lit(1), "id")), "asked")
-    queries = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
-    blocks = F.array(*(F.lit(max(1, -(-sizes.get(p, 0) // BLOCK))) for p in range(len(model.bias))))
-    groups = F.array(*(F.lit(max(1, -(-queries.get(p, 0) // QUERIES))) for p in range(len(model.bias))))
-    right = dealt.select("id", "v", "part", F.pmod(F.xxhash64(F.lit(2), "id"), F.get(blocks, F.col("part"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.get(groups, F.col("part")) - 1)).alias("group"))
-    left = asked.select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"), F.pmod("salt", F.get(groups, F.col("part"))).cast("int").alias("group"))
+    reach = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")), lambda a, p: F.when((a["n"] < model.probes) | (a["sum"] <= k), F.struct((a["n"] + 1).alias("n"), (a["sum"] + F.coalesce(F.get(size_of, p), F.lit(0))).cast("long").alias("sum"))).otherwise(a), lambda a: a["n"])
+    asked = materialize(dealt.where("is_query").select("id", "v", F.explode(F.slice("parts", 1, reach)).alias("part")), "asked")
+    blocks = dealt.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    right = dealt.select("id", "v", "part").join(blocks, "part").join(groups, "part")
+    right = right.select("id", "v", "part", F.pmod(F.xxhash64(F.lit(2), "id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    left = asked.join(blocks, "part").join(groups, "part")
+    left = left.select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), "groups").cast("int").alias("group"))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["part", "block", "group"]
     near = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(lambda q, c: _nearest(q, c, k), "query_id long, vec_id long, score double")

@@ -23,7 +23,6 @@ def vectors(clustered: bool) -> np.ndarray:
 def test_recall_of_pruned_search(spark, tmp_path, clustered: bool) -> None:
     m = vectors(clustered)
     pq.write_table(pa.table({"vec_id": np.arange(N), "embedding": list(m)}), tmp_path / "embeddings.parquet", row_group_size=2500)
-    assert annpart.PROBES < annpart.PARTS <= annpart.SAMPLE // 64 < N // 64
     rows = annpart.search(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id") % 100 == 0, K).collect()
     got: dict[int, set[int]] = {}
     for r in rows:
@@ -37,3 +36,22 @@ def test_recall_of_pruned_search(spark, tmp_path, clustered: bool) -> None:
     recall = hits / (K * N // 100)
     print("recall", recall, "clustered" if clustered else "unclustered")
     assert recall >= 0.9
+
+
+def test_few_probes_on_clustered_vectors() -> None:
+    m = vectors(True)[: annpart.SAMPLE]
+    model = annpart.fit(m, 128)
+    assert len(model.bias) == 128 and model.probes <= 16
+
+
+def test_lengths_edges_and_ties(spark) -> None:
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
+    rows += [(20, [1.0, 0.0, 0.0]), (21, [1.0, 1.0, 0.0]), (22, [5.0])]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, part int, v int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in annpart.search(df, F.lit(True), 2).collect()}
+    assert got == {
+        (1, 1): (2, 1.0), (1, 2): (3, 1.0), (2, 1): (1, 1.0), (2, 2): (3, 1.0), (3, 1): (1, 1.0), (3, 2): (2, 1.0),
+        (4, 1): (1, 0.0), (4, 2): (2, 0.0), (20, 1): (21, 0.707107), (21, 1): (20, 0.707107),
+    }
+    assert annpart.search(df.where("false"), F.lit(True), 2).count() == 0
