@@ -124,7 +124,7 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     """(doc, version, source, size, source_size, target, taken) of each row; version is the text's hash.
 
     The size of a text is its number of words; a null or empty text has none and is never taken. Null is a source
-    of its own. Rows may repeat: each has a place in its source's stream. `taken` counts the words in the slots'
+    of its own. Texts of any length are counted whole. Rows may repeat: each has a place in its source's stream. `taken` counts the words in the slots'
     blocks, repeats included. An empty table gives an empty result. Other columns are not read.
     """
     docs, slots = _mix(df, text, doc_id, source, weights, most, block, seed)

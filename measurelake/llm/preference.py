@@ -21,7 +21,8 @@ def conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     """(conv_id, turns array<struct<role, text>>) in the order of `turn`, then role, then text.
 
     Null roles and texts count as empty; rows without conv_id are passed over; a null turn stands first. Rows that
-    repeat whole count once. Other columns are not read.
+    repeat whole count once; turns of any length are kept whole; an empty table has no conversations. Other columns are
+    not read.
     """
     rows = df.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
     turns = F.array_sort(F.collect_set("t"))
