@@ -55,6 +55,7 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     shared = found.groupBy("fingerprint").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("fingerprint")
     met = materialize(found.join(shared, "fingerprint"), "met")
     first = met.groupBy("fingerprint", "content").agg(F.min(F.struct("doc", "version", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "origins")  # a plain side, so that the join splits where a window is in many places
     later = met.join(first, ["fingerprint", "content"]).where(F.struct("doc", "version", "first") > F.col("origin")).select("doc", "version", "first", "last")
     own = Window.partitionBy("doc", "version").orderBy("first", "last")
     later = later.withColumn("reach", F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1)))
