@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from measurelake.llm.common import held
+
 #: The pre-split of the public rank files (public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Its alternatives where all code points are under U+0100: letters, numbers and white space there, one by one.
@@ -245,16 +247,9 @@ class Codec:
         return b"".join(out)
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec_of(data: bytes, pattern: str) -> Codec:
-    """One codec a worker process: what one task has determinised serves the next."""
-    key = hashlib.sha256(data + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(parse_ranks(data), pattern)
-    return _codecs[key]
+    """One codec a worker process: what one task has determinised serves the next, until another operator runs there."""
+    return held(hashlib.sha256(data + pattern.encode()).digest(), lambda: Codec(parse_ranks(data), pattern))
 
 
 def read_ranks(path: str) -> bytes:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+#: What a worker process keeps for its next task: one thing at a time, by key.
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """`make()`, kept in this worker process until another key is asked for, or `release`."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what this worker process has `held`: workers go on to other operators, and their memory is the executor's."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

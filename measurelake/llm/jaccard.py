@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import discard, materialize, slices
+from measurelake.llm.common import discard, materialize, release, slices
 
 #: Coordinates of a count vector, at most.
 COORDINATES = 8192
@@ -192,6 +192,7 @@ def _names(s: np.ndarray) -> tuple[int, int]:
 
 def _sketched(df: DataFrame, text: str, doc_id: str, n: int, least: tuple[int, int], seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, ROWS):
             rows: list[tuple] = []
             for w in word_hashes(batch.column(1)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import materialize, slices, unused
+from measurelake.llm.common import materialize, release, slices, unused
 
 #: Labelled rows that a model is fitted on, at most (in expectation); chosen by hash of the document's id.
 SAMPLE = 24_000
@@ -110,6 +110,7 @@ def _statistics_of(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "stats array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, BLOCK):
             stats = pa.array([statistics(x.as_py()) for x in batch.column(len(keep))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), stats], [*keep, "stats"])
@@ -167,15 +168,17 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
 
     Null and empty texts are scored by statistics that are all 0; texts of any length are read whole. Without a model
     every score is 0.5. Rows that repeat have equal scores; an empty table gives an empty result; columns that aren't
-    kept are not read.
+    kept are not read. A text that is kept goes to Python once.
     """
     keep = tuple(keep)
+    at = keep.index(text) if text in keep else len(keep)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, BLOCK):
-            stats = np.array([statistics(x.as_py()) for x in batch.column(len(keep))], float).reshape(-1, len(NAMES))
+            stats = np.array([statistics(x.as_py()) for x in batch.column(at)], float).reshape(-1, len(NAMES))
             values = np.full(len(stats), 0.5) if model is None else model.score(stats)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(values, pa.float64())], [*keep, name])
 
-    return df.select(*keep, F.col(text).alias(unused(df, "__text"))).mapInArrow(run, schema)
+    return df.select(*keep, *(() if text in keep else (F.col(text).alias(unused(df, "__text")),))).mapInArrow(run, schema)
