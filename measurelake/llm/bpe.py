@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,9 +30,14 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 REPLACED = "\ufffd".encode()
 MAX_ARCS = 300_000
-MAX_PIECES = 200_000
+MAX_PIECES = 85_000
 MAX_PAIRS = 400_000
 CACHED_CHARS = 48
+MET = 1 << 20
+#: Bits of a state's number in an arc; the state before the first byte.
+STATE = 32
+MASK = (1 << STATE) - 1
+START = array("i", (0, -1, 0)).tobytes()
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -61,14 +67,17 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.arcs: dict[int, tuple[int, bytes]] = {}
+        self.ids: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        #: (state, byte) to the next state, and in the bits from STATE on the place of what is emitted.
+        self.arcs: dict[int, int] = {}
+        self.emits: list[bytes] = [b""]
+        self.places: dict[bytes, int] = {b"": 0}
         self.ends: dict[int, bytes] = {}
-        self._state(((0, -1, ()),))
+        self._state(START)
 
-    def _state(self, live: tuple) -> int:
-        """live: for each place at which a token to come can start, the node of the bytes since, the token that ends there and all tokens up to there that aren't emitted yet."""
+    def _state(self, live: bytes) -> int:
+        """live: for each place at which a token to come can start, the node of the bytes since, the token that ends there, and the number and the list of all tokens up to there that aren't emitted yet; as 32-bit integers one behind the other, a quarter of the memory of tuples."""
         k = self.ids.setdefault(live, len(self.states))
         if k == len(self.states):
             self.states.append(live)
@@ -118,19 +127,21 @@ class Transducer:
             else:
                 before, right = right + 1, b
 
-    def _arc(self, k: int, byte: int) -> tuple[int, bytes]:
+    def _arc(self, k: int, byte: int) -> int:
         get, known = self.tree.get, self.pairs.get
-        live, path = [], None
-        for node, last, before in self.states[k]:
+        live, path, flat, i = [], None, memoryview(self.states[k]).cast("i").tolist(), 0
+        while i < len(flat):
+            node, last, begin = flat[i], flat[i + 1], i + 3
+            i = begin + flat[i + 2]
             step = get(node << 8 | byte)
             if step is not None:
                 below, token, more = step
                 if token >= 0 and path is None:
                     ok = known(last << 32 | token)
                     if self._fits(last, token) if ok is None else ok:
-                        path = (*before, token)
+                        path = [*flat[begin:i], token]
                 if more:
-                    live.append((below, last, before))
+                    live.append((below, last, flat[begin:i]))
         if path is None:
             raise ValueError("a byte is missing in the ranks")
         # what all continuations have behind them is decided
@@ -142,9 +153,17 @@ class Transducer:
             if not decided:
                 break
         live.append((0, path[-1], path))
+        flat = []
+        for node, last, before in live:
+            flat += (node, last, len(before) - decided, *before[decided:])
+        to = self._state(array("i", flat).tobytes())
         if not decided:
-            return self._state(tuple(live)), b""
-        return self._state(tuple([(node, last, before[decided:]) for node, last, before in live])), struct.pack(f"<{decided}I", *path[:decided])
+            return to
+        emitted = struct.pack(f"<{decided}I", *path[:decided])
+        place = self.places.setdefault(emitted, len(self.emits))
+        if place == len(self.emits):
+            self.emits.append(emitted)
+        return place << STATE | to
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece, as little-endian unsigned 32-bit integers."""
@@ -161,13 +180,15 @@ class Transducer:
                     self._forget()
                     arcs, k = self.arcs, self._state(here)
                 step = arcs[k << 8 | byte] = self._arc(k, byte)
-            k, emitted = step
-            if emitted:
-                out += emitted
+            if step > MASK:
+                out += self.emits[step >> STATE]
+            k = step & MASK
         end = self.ends.get(k)
         if end is None:
-            rest = self.states[k][-1][2]
-            end = self.ends[k] = struct.pack(f"<{len(rest)}I", *rest)
+            flat, i = memoryview(self.states[k]).cast("i").tolist(), 0
+            while (after := i + 3 + flat[i + 2]) < len(flat):
+                i = after
+            end = self.ends[k] = struct.pack(f"<{after - i - 3}I", *flat[i + 3 :])
         return out + end
 
 
@@ -199,19 +220,27 @@ class Utf8Machine(dict):
 
 
 class Pieces(dict):
-    """Encoded pieces, in two generations: pieces of the older one that are met again move to the younger."""
+    """Encoded pieces, in two generations: pieces of the older one that are met again move to the younger.
+
+    Most pieces of a corpus occur once, so one is kept only when it (or one of the same hash) was met before.
+    """
 
     def __init__(self, encode: Callable[[bytes], bytes]):
-        self.encode_piece, self.older = encode, {}
+        self.encode_piece, self.older, self.met = encode, {}, bytearray(MET)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.encode_piece(piece.encode())
+            at = hash(piece) % MET
+            if not self.met[at]:
+                self.met[at] = 1
+                return ids
         if len(piece) <= CACHED_CHARS:
             if len(self) >= MAX_PIECES:
                 self.older = dict(self)
                 self.clear()
+                self.met = bytearray(MET)
             self[piece] = ids
         return ids
 

@@ -59,6 +59,7 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(text: Column) -> Column:

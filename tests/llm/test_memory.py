@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
 import weakref
 
 import public_tokenizers
@@ -37,3 +39,18 @@ def test_workers_drop_the_codec_for_another_operator(spark, monkeypatch, operato
     assert gone()
     assert list(sent[0](iter(()))) == []
     assert not gone()
+
+
+def test_codec_holds_little_for_each_arc_and_no_piece_met_once():
+    codec = bpe.Codec(bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))))
+    draw = random.Random(3)
+    pieces = [" " + "".join(draw.choices(["th", "en", "sch", "ó", "q", "ing", "re", "x"], k=5)) for _ in range(4000)]
+    tracemalloc.start()
+    for piece in pieces:
+        codec.transducer.encode(piece.encode())
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(codec.transducer.arcs) > 3_000 and used < 300 * len(codec.transducer.arcs)
+    codec.encode(" qxqxth")
+    assert " qxqxth" not in codec.pieces
+    assert codec.encode(" qxqxth") == codec.transducer.encode(b" qxqxth") and " qxqxth" in codec.pieces
