@@ -81,14 +81,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet into the shared folder and read it again.
+def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+    """Cut lineage: write `df` as Parquet (by the session's codec, or this one) into the shared folder and read it again.
 
     The files outlive lost executors; they are deleted by `discard`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path

@@ -5,7 +5,7 @@ hold the very same ones: by the pigeonhole principle they share one of a few sig
 and no link is lost, in whatever order all sets look at their signatures. They look at those of rarely used hash
 buckets first, so a passage that many documents share is no meeting point. Sets that share signatures meet in
 blocks. There the counts of shingles in groups are points of an R-tree, whose boxes bound the overlap by the summed
-minima of coordinates; pairs within the bound are verified on the whole sets. Where a block has many such pairs, a
+minima of coordinates; pairs within the bound are verified on the whole sets, for which only their texts are read again. Where a block has many such pairs, a
 spanning forest of them is verified first, and then only pairs that are still in different components: near copies
 by the thousand don't make all their pairs. Equal sets are one class from the start.
 """
@@ -36,6 +36,8 @@ BUCKETS, HOT, SALTS = 1 << 16, 20_000, 64
 SEEDS = 8
 #: Bits of the mask of wanted documents: a broadcast of 65,536 rows of two numbers at most.
 MASK = 1 << 22
+#: Bits of a signature, below the salt in `place`, and bits below a set's name that hold the tag in `who`.
+SIG, TAG = 48, 7
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -180,14 +182,14 @@ def signatures(s: np.ndarray, least: tuple[int, int], seed: int) -> list[tuple[i
     return out
 
 
-SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32()), ("sigs", pa.list_(pa.int64())), ("enough", pa.bool_())])
+SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32()), ("sigs", pa.list_(pa.int64())), ("enough", pa.bool_()), ("bits0", pa.binary()), ("excess0", pa.int64()), ("bits1", pa.binary()), ("excess1", pa.int64())])
 
 
 def _names(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed numbers."""
+    """121 bits that name a set, as two signed numbers; the last TAG bits of the first are 0."""
     with np.errstate(over="ignore"):
         a, b = np.array([_mix(s, 1).sum(dtype=_U), _mix(s, 2).sum(dtype=_U)], _U).view(np.int64).tolist()
-        return a, b
+        return a >> TAG << TAG, b
 
 
 def _sketched(df: DataFrame, text: str, doc_id: str, n: int, least: tuple[int, int], seed: int) -> DataFrame:
@@ -199,11 +201,12 @@ def _sketched(df: DataFrame, text: str, doc_id: str, n: int, least: tuple[int, i
                 s = shingle_set(w, n)
                 made = signatures(s, least, seed) if len(s) else []
                 need = [x[1] for x in made] + [0, 0]
-                sigs = np.concatenate([x[2] for x in made]).view(np.int64) if made else np.zeros(0, np.int64)
-                rows.append((len(s), *_names(s), len(made[0][2]) if made else 0, need[0], need[1], sigs, all(len(x[2]) >= x[1] for x in made)))
+                sigs = (np.concatenate([x[2] for x in made]) >> _U(64 - SIG)).view(np.int64) if made else np.zeros(0, np.int64)
+                vectors = [count_vector(s, x[0]) for x in made[:2]] + [(None, None)] * 2
+                rows.append((len(s), *_names(s), len(made[0][2]) if made else 0, need[0], need[1], sigs, all(len(x[2]) >= x[1] for x in made), *vectors[0], *vectors[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), list(SKETCH)[1:], strict=True))], schema=SKETCH)
 
-    return df.select(F.col(doc_id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, own int, need0 int, need1 int, sigs array<long>, enough boolean")
+    return df.select(F.col(doc_id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, own int, need0 int, need1 int, sigs array<long>, enough boolean, bits0 binary, excess0 long, bits1 binary, excess1 long")
 
 
 def _bucket_counts(sketches: DataFrame) -> np.ndarray:
@@ -216,9 +219,10 @@ def _bucket_counts(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sketches: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(sig, salt, tag, h1): of each set and size class the signatures that must be looked at, those of rare buckets first.
+    """(place, who): of each set and size class the signatures that must be looked at, those of rare buckets first.
 
-    tag is twice the size class, plus one where that isn't the set's own. salt splits signatures of hot buckets.
+    place is the signature, and above it a salt that splits those of hot buckets; who is h1 and the tag: twice the size
+    class, plus one where that isn't the set's own. This is by far the largest shuffle, so a row is two numbers.
     """
     mean = counts.mean()
     hot = counts > mean + 8 * np.sqrt(mean) + HOT
@@ -239,9 +243,9 @@ def _prefixes(sketches: DataFrame, counts: np.ndarray) -> DataFrame:
             level = np.array([_level(int(x)) for x in n], np.int64)
             row, slot, sigs = row[order], slot[order], sigs[order]
             salt = np.where(hot[bucket[order]], 1 + (h1[row] >> 8 & (SALTS - 1)), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(salt, pa.int32()), pa.array(2 * (level[row] + slot) + slot, pa.int32()), pa.array(h1[row])], ["sig", "salt", "tag", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs | salt << SIG), pa.array(h1[row] | 2 * (level[row] + slot) + slot)], ["place", "who"])
 
-    return sketches.where("n > 0").select("h1", "n", "own", "need0", "need1", "sigs").mapInArrow(run, "sig long, salt int, tag int, h1 long")
+    return sketches.where("n > 0").select("h1", "n", "own", "need0", "need1", "sigs").mapInArrow(run, "place long, who long")
 
 
 def _groups_that_meet(sketches: DataFrame) -> DataFrame:
@@ -249,22 +253,27 @@ def _groups_that_meet(sketches: DataFrame) -> DataFrame:
 
     A signature of a hot bucket is split by salt and stays a key of its own, without a look at who shares it.
     """
-    rows = _prefixes(sketches, _bucket_counts(sketches)).repartition("sig", "salt")
-    of = Window.partitionBy("sig", "salt")
-    met = rows.withColumn("low", F.min("h1").over(of)).withColumn("high", F.max("h1").over(of)).where("salt > 0 OR low < high")
-    met = met.groupBy("sig", "salt", "tag", "h1").agg(F.lit(1).alias("one"))
+    rows = _prefixes(sketches, _bucket_counts(sketches)).repartition("place")
+    rows = rows.select("place", F.expr(f"who >> {TAG} << {TAG}").alias("h1"), F.expr(f"cast(who & {(1 << TAG) - 1} as int)").alias("tag"), (F.col("place") >= 1 << SIG).alias("salted"))
+    of = Window.partitionBy("place")
+    met = rows.withColumn("low", F.min("h1").over(of)).withColumn("high", F.max("h1").over(of)).where("salted OR low < high")
+    met = met.groupBy("place", "salted", "tag", "h1").agg(F.lit(1).alias("one"))
     same = [F.bit_xor(F.xxhash64(F.lit(k), "h1")).over(of) for k in (1, 2)]
-    key = F.when(F.col("salt") > 0, F.col("sig")).otherwise(F.xxhash64(*same, F.shiftright("tag", 1)))
+    key = F.when(F.col("salted"), F.expr(f"place & {(1 << SIG) - 1}")).otherwise(F.xxhash64(*same, F.shiftright("tag", 1)))
     # sets that are all smaller than the class meet in their own
-    met = met.withColumn("least", F.min(F.col("tag") % 2).over(of)).withColumn("key", key).where("salt > 0 OR least = 0")
+    met = met.withColumn("least", F.min(F.col("tag") % 2).over(of)).withColumn("key", key).where("salted OR least = 0")
     return met.select("key", "tag", "h1").distinct()
 
 
 def _coordinates(level: int) -> tuple[int, int]:
-    """Coordinates of the count vectors of a size class, and to what count each is written."""
+    """Coordinates of the count vectors of a size class, and to what count each is written.
+
+    Two bits a shingle: the bound of sets that have nothing in common is near half their size.
+    """
     end = SINGLES << level
-    load = end / min(4 * end, COORDINATES)
-    return min(4 * end, COORDINATES), 2 if load <= 0.25 else min(32, math.ceil(load + 2.5 * math.sqrt(load)) + 1)
+    size = max(64, min(2 * end, COORDINATES))
+    load = end / size
+    return size, 1 if load <= 0.5 else min(32, math.ceil(load + 2.5 * math.sqrt(load)) + 1)
 
 
 def count_vector(s: np.ndarray, level: int) -> tuple[bytes, int]:
@@ -275,19 +284,14 @@ def count_vector(s: np.ndarray, level: int) -> tuple[bytes, int]:
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
-    """(rep, h1, set, n, and for its own size class and the next: bits, excess) of (rep, text)."""
+    """(rep, set) of (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            sets = [shingle_set(w, n) for w in word_hashes(batch.column(1))]
-            own, later = ([count_vector(s, _level(len(s)) + k) for s in sets] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_names(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
-                + [pa.array([x[k] for x in y], (pa.binary(), pa.int64())[k]) for y in (own, later) for k in (0, 1)],
-                ["rep", "h1", "set", "n", "bits0", "excess0", "bits1", "excess1"],
-            )
+            sets = [shingle_set(w, n).view(np.int64) for w in word_hashes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "set"])
 
-    return df.mapInArrow(run, "rep long, h1 long, set array<long>, n long, bits0 binary, excess0 long, bits1 binary, excess1 long")
+    return df.mapInArrow(run, "rep long, set array<long>")
 
 
 class RTree:
@@ -477,7 +481,7 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
     length are read whole. An empty table gives an empty result; other columns are not read.
     """
     for seed in range(SEEDS):
-        docs = materialize(_sketched(df, text, doc_id, n, least, seed), "sketches")
+        docs = materialize(_sketched(df, text, doc_id, n, least, seed), "sketches", "zstd")
         if docs.where("NOT enough").isEmpty():  # else a set's shingles fell into too few groups: below 1e-11 a document
             break
         discard(docs)
@@ -487,48 +491,58 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
     groups = materialize(_groups_that_meet(known), "groups")
     named = materialize(known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "classes")
     labelled = materialize(docs.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc", "n", "h1", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")), "labelled")
-    discard(docs)
     reps = labelled.where("doc = rep AND n > 0").select("h1", "rep").distinct()
-    groups = materialize(groups.join(reps, "h1").select("key", "tag", "rep", "h1").distinct(), "members")
+    groups = materialize(groups.join(reps, "h1").select("key", "tag", "rep", "h1"), "members")
 
-    # the sets of those that meet, and their count vectors
+    # the count vectors of those that meet; their texts stay where they are
     wanted = groups.select(F.col("rep").alias("doc")).distinct()
-    own = Window.partitionBy("rep", F.xxhash64("text")).orderBy(F.lit(0))
-    texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("text IS NOT NULL")
-    # not a semi-join: that would be pushed below the mask
-    texts = _may_hold(texts, "rep", wanted).join(wanted.withColumnRenamed("doc", "rep"), "rep")
-    sets = materialize(_sets(texts.withColumn("copy", F.row_number().over(own)).where("copy = 1").select("rep", "text"), n), "sets")
+    vectors = known.where("n > 0").select(F.col("doc").alias("rep"), "h1", "n", "bits0", "excess0", "bits1", "excess1")
+    vectors = materialize(_may_hold(vectors, "rep", wanted), "vectors")
+    discard(docs)
 
-    def candidates(groups: DataFrame, whole: bool) -> DataFrame:
+    def candidates(groups: DataFrame, vectors: DataFrame, whole: bool) -> DataFrame:
         sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
         slot = F.col("tag") % 2
         dealt = groups.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        vector = sets.select("rep", "h1", "n", "bits0", "excess0", "bits1", "excess1")
-        dealt = dealt.join(vector, ["rep", "h1"]).select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", slot.alias("slot"), "n", F.when(slot == 0, F.col("excess0")).otherwise(F.col("excess1")).alias("excess"), F.when(slot == 0, F.col("bits0")).otherwise(F.col("bits1")).alias("bits"))
+        own = Window.partitionBy("rep", "h1").orderBy(F.lit(0))  # repeated rows
+        dealt = dealt.join(vectors.withColumn("copy", F.row_number().over(own)).where("copy = 1").drop("copy"), ["rep", "h1"]).select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", slot.alias("slot"), "n", F.when(slot == 0, F.col("excess0")).otherwise(F.col("excess1")).alias("excess"), F.when(slot == 0, F.col("bits0")).otherwise(F.col("bits1")).alias("bits"))
         return _compared(dealt, least, whole)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-        used = _may_hold(sets.select("rep", "set"), "rep", ids)
-        x = pairs.join(used.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(used.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
+    def verified(pairs: DataFrame, *others: DataFrame) -> DataFrame:
+        """Those of the pairs that link, and others."""
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+        texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("text IS NOT NULL")
+        # not a semi-join: that would be pushed below the mask
+        texts = _may_hold(texts, "rep", ids.withColumnRenamed("rep", "doc")).join(ids, "rep")
+        own = Window.partitionBy("rep", F.xxhash64("text")).orderBy(F.lit(0))
+        sets = materialize(_sets(texts.withColumn("copy", F.row_number().over(own)).where("copy = 1").select("rep", "text"), n), "sets")
+        x = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
         common = F.size(F.array_intersect("set_a", "set_b"))
         t, of = least
-        return x.where((t + of) * common.cast("long") >= t * (F.size("set_a") + F.size("set_b")).cast("long")).select("a", "b").distinct()
+        out = x.where((t + of) * common.cast("long") >= t * (F.size("set_a") + F.size("set_b")).cast("long")).select("a", "b").distinct()
+        for other in others:
+            out = out.unionByName(other)
+        out = materialize(out, "links")
+        discard(sets)
+        discard(ids)
+        return out
 
-    found = materialize(candidates(groups.withColumn("component", F.col("rep")), False), "candidates")
+    found = materialize(candidates(groups.withColumn("component", F.col("rep")), vectors, False), "candidates")
     # texts of one document belong together
     of_doc = labelled.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
     of_doc = of_doc.join(labelled.where("n > 0"), "doc").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    edges = materialize(verified(materialize(found.where("a < b").select("a", "b").distinct(), "pairs")).unionByName(of_doc), "links")
+    edges = verified(materialize(found.where("a < b").select("a", "b").distinct(), "pairs"), of_doc)
     linked = components(edges)
 
     # blocks with more pairs than were looked at: all their pairs that are still apart
     open_groups = groups.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
     if not open_groups.isEmpty():
-        apart = open_groups.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rest = materialize(candidates(apart, True).select("a", "b").where("a < b").distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "rest")
-        more = materialize(verified(rest), "links")
-        if not more.isEmpty():
+        apart = materialize(open_groups.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "open")
+        many = apart.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        apart = materialize(apart.join(many, "key"), "apart")
+        near = _may_hold(vectors, "rep", apart.select(F.col("rep").alias("doc")))
+        rest = materialize(candidates(apart, near, True).select("a", "b").where("a < b").distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty() and not (more := verified(rest)).isEmpty():
             linked = components(edges.unionByName(more))
     out = labelled.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc", "n", F.coalesce("component", "rep").alias("component"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,38 @@ def test_jaccard_texts_of_one_document(spark):
     assert out == {(9, 3), (3, 3), (5, 3), (4, 4)}
 
 
+def test_jaccard_reads_texts_of_pairs_within_the_bound_only(spark, monkeypatch):
+    draw, rows = random.Random(4), {}
+    made = lambda k: [f"w{draw.randrange(10**9)}" for _ in range(k)]
+    shared, text = made(400), made(500)
+    texts = [shared + made(100), shared + made(100), text, text[:495] + made(5)]  # the first two meet, and can't link
+
+    def counted(df, tag, *codec):
+        out = common.materialize(df, tag, *codec)
+        rows.setdefault(tag, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "_bucket_counts", lambda _: np.zeros(jaccard.BUCKETS, np.int64))  # else shared signatures come last
+    got = {r.doc: r.component for r in jaccard.link(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert rows["members"] >= 4 and rows["sets"] == 2
+
+
+def test_count_vectors_bound_the_overlap_in_two_bits_a_shingle():
+    draw = np.random.default_rng(5)
+    for n in (1, 5, 16, 17, 64, 500, 3000, 8192, 9000):
+        level = jaccard._level(n)
+        for k in (0, 1):
+            a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+            for common_ in (0, n // 2, n):
+                b = np.unique(np.append(a[:common_], draw.integers(0, 2**63, n - common_, dtype=np.uint64)))
+                (x, more_x), (y, more_y) = (jaccard.count_vector(s, level + k) for s in (a, b))
+                assert len(x) % 8 == 0 and (n > 2048 or 8 * len(x) <= max(64, 4 * n * (1 + k)))
+                bound = int(np.bitwise_count(np.frombuffer(x, np.uint8) & np.frombuffer(y, np.uint8)).sum()) + min(more_x, more_y)
+                assert bound >= common_ and (common_ or n < 64 or bound < 0.85 * n)
+
+
 def test_jaccard_planted_groups(spark, monkeypatch):
     """A hot passage, exact copies and near copies of all degrees, in blocks of a few; against all pairs."""
     import random
