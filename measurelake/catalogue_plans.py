@@ -9,6 +9,7 @@ from measurelake.catalogue import _pick, _table, query
 from measurelake.functions import formatting as N
 from measurelake.operators.candidates import interpret, tokens
 from measurelake.operators.modifiers import with_modifiers
+from measurelake.operators.quantities import spread
 from measurelake.operators.units import exchange
 from measurelake.plans import evaluation, lookups
 
@@ -18,7 +19,7 @@ from measurelake.plans import evaluation, lookups
 
 @query("SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN (p_size // 8)::VARCHAR WHEN p_size % 4 = 0 THEN (p_size // 4) || '/2' WHEN p_size % 2 = 0 THEN (p_size // 2) || '/4' ELSE p_size || '/8' END AS fraction FROM part")
 def fraction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", N.fraction_text(F.col("p_size") / 8).alias("fraction"))
+    return spread(_table(spark, sf_dir, "part")).select("p_partkey", N.fraction_text(F.col("p_size") / 8).alias("fraction"))
 
 
 @query("SELECT o_orderkey, printf('%.3f', o_custkey / 1000.0) || '×10^3' AS scientific, format('{:,}', o_custkey) AS grouped FROM orders")

@@ -11,6 +11,8 @@ from measurelake.functions.text import bound, let
 
 #: Largest denominator of a fraction; relative floor of errors; error up to which a notation stands for a value.
 DENOMINATORS, EPSILON, THRESHOLD = 1000, 2.220446049250313e-16, 0.03
+#: Moves that bring neighbours to the largest denominators, at most; from which size on doubles are no finer than 2.4e-7.
+_STEPS, _COARSE = 40, 2.0**30
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 _GROUPS = ((12, "trillion"), (9, "billion"), (6, "million"), (3, "thousand"))
@@ -21,10 +23,37 @@ def relative_error(expected: Column, found: Column) -> Column:
     return F.abs(found - expected) / F.greatest(F.abs(expected), F.lit(EPSILON))
 
 
+def _between(value: Column) -> Column:
+    """Denominators of the two neighbours of a value among all fractions: the nearest one up to the value, and from it on.
+
+    Starting with the whole numbers around the value, in turn one of the two moves towards the other as far as it stays on
+    its side. So it takes as many steps as a continued fraction has terms, not one for each denominator.
+    """
+    f = F.abs(value).cast("double") - F.floor(F.abs(value))
+    off = lambda p, q: F.abs(f * q - p)
+
+    def step(s: Column) -> Column:
+        times = F.floor(F.least(F.try_divide(off(s["p"], s["q"]), off(s["r"], s["s"])), (DENOMINATORS - s["q"]) / s["s"]))
+        return let(times, lambda k: F.struct(s["r"].alias("p"), s["s"].alias("q"), (s["p"] + k * s["r"]).alias("r"), (s["q"] + k * s["s"]).alias("s")))
+
+    def walked(f: Column) -> Column:
+        start = F.struct(*(F.lit(v).alias(n) for n, v in (("p", 0.0), ("q", 1.0), ("r", 1.0), ("s", 1.0))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, lambda s, _: F.when(s["q"] + s["s"] > DENOMINATORS, s).otherwise(step(s)))
+
+    return let(walked(f), lambda s: F.array(s["q"].cast("int"), s["s"].cast("int")))
+
+
 @bound
 def nearest_fraction(value: Column) -> Column:
-    """struct<numerator, denominator>: the nearest fraction, of equally near ones that of the least denominator."""
-    each = F.transform(F.sequence(F.lit(1), F.lit(DENOMINATORS)), lambda d: F.struct(F.round(F.abs(F.round(value * d) / d - value), 12).alias("off"), d.alias("d")))
+    """struct<numerator, denominator>: the nearest fraction, of equally near ones that of the least denominator.
+
+    It is one of the value's two neighbours, as others on their sides are off by a millionth more. Only where doubles are
+    too coarse to tell that, every denominator is tried.
+    """
+    off = lambda d: F.round(F.abs(F.round(value * d) / d - value), 12)
+    every = F.sequence(F.lit(1), F.lit(DENOMINATORS))
+    tried = F.when(value.isNull() | (off(F.lit(1)) == 0), F.array(F.lit(1))).when(F.abs(value) < _COARSE, _between(value)).otherwise(every)
+    each = F.transform(tried, lambda d: F.struct(off(d).alias("off"), d.alias("d")))
     return let(F.array_min(each)["d"], lambda d: F.struct(F.round(value * d).cast("long").alias("numerator"), d.cast("long").alias("denominator")))
 
 

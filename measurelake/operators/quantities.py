@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from measurelake.functions.text import normalize_quantity
 from measurelake.operators import quantity_core
+from measurelake.operators.candidates import unused_name
 from measurelake.operators.quantity_core import Parsed, Quantity, Uncertainty
 from measurelake.operators.unit_core import parse as parse_unit
 from measurelake.operators.units import PARTS, UNIT_TYPE, as_rows
@@ -80,10 +81,23 @@ def _parse():
     return parse
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where its scan has fewer parts than there are (a file of one row group); else as it is."""
+def _filled(df: DataFrame) -> int:
+    """Parts that hold rows; only footers are read, as no column is."""
+    return df.select(F.spark_partition_id().alias("part")).distinct().count()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its rows lie in fewer parts than there are; else as it is.
+
+    A file is cut by size, but all of a row group's rows are in the part that its middle is in: so the parts of a table
+    that is read as it is are counted by their rows. Rows are dealt by number, which needs no sorting of them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    plain = not df.isStreaming and df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores and not (plain and _filled(df) < cores):
+        return df
+    number = unused_name(df, "__number")
+    return df.withColumn(number, F.monotonically_increasing_id()).repartition(cores, number).drop(number)
 
 
 def parse_quantities(df: DataFrame, text: Column, out: str = "quantity") -> DataFrame:
@@ -93,6 +107,6 @@ def parse_quantities(df: DataFrame, text: Column, out: str = "quantity") -> Data
     attribute, and the function runs once a row however many fields of the record are used. Of equal spans in a batch
     one is parsed, and workers keep what they have parsed. Rows are only moved where a scan has too few parts.
     """
-    df = _spread(df)
+    df = spread(df)
     lines = df.select("*", F.explode(F.array(normalize_quantity(text))).alias("__normalized"))
     return lines.select(*(df[c] for c in df.columns), _parse()(F.col("__normalized")).alias(out))
