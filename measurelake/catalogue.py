@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from measurelake.functions import text as T
 from measurelake.functions.numbers import str2num
 from measurelake.operators.modifiers import modifiers
-from measurelake.operators.quantities import parse_quantities
+from measurelake.operators.quantities import parse_quantities, spread
 from measurelake.operators.units import convert_fixed, link, parse_unit, rescale, ucum_code, unit_info
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,7 +113,7 @@ _LOWERED = "lower(text)"
 )
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents")).select(
         "doc_id", T.contains_number(t).alias("number"), T.contains_number(t, imprecise=True).alias("number_or_imprecise"), T.is_imprecise(t).alias("imprecise"), T.contains_constant(t).alias("constant"), T.contains_digit(t).alias("digit"), T.contains_decimal(t).alias("decimal")
     )
 

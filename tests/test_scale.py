@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from measurelake.functions import formatting as N
+from measurelake.functions import lexicon
+from measurelake.functions import text as T
 from measurelake.functions.text import let
 from measurelake.operators.quantities import spread
 
@@ -48,3 +50,24 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     finally:
         for k in split:
             spark.conf.unset(k)
+
+
+def test_predicates_find_the_same_in_less_time(spark):
+    r = random.Random(4)
+    terms = [*lexicon.NUMBER_WORDS, *lexicon.MAGNITUDES, *lexicon.IMPRECISE_QUANTITIES, *lexicon.CONSTANTS]
+    texts = [f"ab {t[: r.randrange(1, len(t) + 1)]}{r.choice(['', ' x', 's', ' of'])}" for t in terms] + [f"In{t.upper()}." for t in terms] + ["7", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t, low = F.col("t"), F.lower(F.col("t"))
+    pairs = ((T.contains_number(t), T.NUMBER_PATTERN), (T.contains_number(t, imprecise=True), T.NUMBER_OR_IMPRECISE_PATTERN), (T.is_imprecise(t), T.IMPRECISE_PATTERN), (T.contains_constant(t), T.CONSTANT_PATTERN))
+    assert [df.where(~found.eqNullSafe(low.rlike(pattern))).collect() for found, pattern in pairs] == [[]] * 4
+    words = "the process was stable over the whole period and the samples were measured again by their owners ".split()
+    long = spark.range(0, 400, 1, 8).select(F.lit(" ".join(r.choices(words, k=3000))).alias("t"), "id")
+    lasts = lambda c: _seconds(long.select(F.concat("t", F.col("id").cast("string")).alias("t")).where(c))
+    lasts(T.contains_constant(t))
+    assert lasts(T.contains_constant(t)) * 2 < lasts(low.rlike(T.CONSTANT_PATTERN))
+
+
+def _seconds(df) -> float:
+    begun = time.monotonic()
+    df.count()
+    return time.monotonic() - begun
