@@ -218,7 +218,7 @@ def text_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _pick(F.col("o_orderkey"), "the load is approximately ", "the load is ", "these are "), _pick(F.col("o_orderkey"), ", it says", " or higher when seen", " key factors")
     span = F.concat((F.col("o_orderkey") % 97).cast("string"), F.lit(" kg"))
     found = modifiers(F.concat(before, span, after), F.length(before), F.length(before) + F.length(span))
-    return _table(spark, sf_dir, "orders").groupBy(F.array_join(found, "|").alias("modifiers")).agg(F.count("*").alias("n"))
+    return spread(_table(spark, sf_dir, "orders")).groupBy(F.array_join(found, "|").alias("modifiers")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_brand, true AS correct, CASE WHEN p_partkey % 2 = 0 THEN true ELSE false END AS success, count(*) AS n FROM part GROUP BY ALL")

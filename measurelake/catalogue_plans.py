@@ -74,7 +74,7 @@ def modifiers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     before, span, after = _pick(k, "It fell. The load is approximately ", "the load is ", "the load is ", "about "), _pick(k, "5 kg", "5 kg", "about 5 kg", "(5 kg"), _pick(k, ", it says", " or higher when seen", " there", " key")
     found = with_modifiers(F.concat(before, span, after), F.length(before), F.length(before) + F.length(span))
-    return _table(spark, sf_dir, "orders").select(found.alias("x")).groupBy(F.array_join("x.modifiers", "|").alias("modifiers"), F.col("x.text").alias("widened")).agg(F.count("*").alias("n"))
+    return spread(_table(spark, sf_dir, "orders")).select(found.alias("x")).groupBy(F.array_join("x.modifiers", "|").alias("modifiers"), F.col("x.text").alias("widened")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_custkey * (CASE o_orderkey % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 ELSE 1.0 END) * (CASE o_orderkey % 2 WHEN 0 THEN 4.0 ELSE 1.0 END) AS amount FROM orders")

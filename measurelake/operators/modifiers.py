@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from measurelake.functions import lexicon
-from measurelake.functions.text import alternatives, let
+from measurelake.functions.text import let, trie
 
-_WORDS = alternatives([m for m in lexicon.PREFIXED_MODIFIERS if m[-1].isalnum() or m.endswith(".")])
-_SIGNS = alternatives([m for m in lexicon.PREFIXED_MODIFIERS if not (m[-1].isalnum() or m.endswith("."))])
-_SUFFIXES = alternatives(lexicon.SUFFIXED_MODIFIERS)
+_WORDS = trie([m for m in lexicon.PREFIXED_MODIFIERS if m[-1].isalnum() or m.endswith(".")])
+_SIGNS = trie([m for m in lexicon.PREFIXED_MODIFIERS if not (m[-1].isalnum() or m.endswith("."))])
+_SUFFIXES = trie(lexicon.SUFFIXED_MODIFIERS)
 _PREFIX = rf"(?:(?:(?<!\w)(?:{_WORDS})(?!\w)|(?:{_SIGNS}))\s?)+"
 _BEFORE, _FIRST = rf"(?i)({_PREFIX})$", rf"(?i)^({_PREFIX})"
 _AFTER, _LAST = rf"(?i)^(\s?(?:{_SUFFIXES})(?!\w))", rf"(?i)((?<!\w)(?:{_SUFFIXES}))$"
@@ -26,10 +26,12 @@ def with_modifiers(text: Column, start: Column, end: Column) -> Column:
     and has none.
     """
 
+    # each search is bound, as a lambda's body looks again for whatever it names twice
+    def searched(x: Column) -> Column:
+        return F.struct(x["span"], F.regexp_extract(x["left"], _BEFORE, 1).alias("before"), F.regexp_extract(x["right"], _AFTER, 1).alias("after"), F.trim(F.regexp_extract(x["span"], _FIRST, 1)).alias("first"), F.trim(F.regexp_extract(x["span"], _LAST, 1)).alias("last"))
+
     def made(x: Column) -> Column:
-        span, left, right = x["span"], x["left"], x["right"]
-        before, after = F.regexp_extract(left, _BEFORE, 1), F.regexp_extract(right, _AFTER, 1)
-        first, last = F.trim(F.regexp_extract(span, _FIRST, 1)), F.trim(F.regexp_extract(span, _LAST, 1))
+        span, before, after, first, last = (x[k] for k in ("span", "before", "after", "first", "last"))
         aligned = ~span.rlike(r"^[(\[{]")
         led = F.trim(F.concat(before, first))
         found = F.when(aligned, F.array_remove(F.array(led, F.when((first == span) & (last == span), "").otherwise(last), F.trim(after)), "")).otherwise(F.array().cast("array<string>"))
@@ -38,7 +40,7 @@ def with_modifiers(text: Column, start: Column, end: Column) -> Column:
         return F.struct(found.alias("modifiers"), a.alias("start"), b.alias("end"), F.substring(text, a + 1, b - a).alias("text"))
 
     parts = F.struct(F.substring(text, start + 1, end - start).alias("span"), F.regexp_extract(F.substring(text, F.lit(1), start), _TWO_SENTENCES, 1).alias("left"), F.substring(text, end + 1, F.length(text)).alias("right"))
-    return let(parts, made)
+    return let(let(parts, searched), made)
 
 
 def modifiers(text: Column, start: Column, end: Column) -> Column:

@@ -13,6 +13,7 @@ from measurelake.functions import formatting as N
 from measurelake.functions import lexicon
 from measurelake.functions import text as T
 from measurelake.functions.text import let
+from measurelake.operators import modifiers as M
 from measurelake.operators.quantities import spread
 
 
@@ -67,6 +68,24 @@ def test_predicates_find_the_same_in_less_time(spark):
     assert lasts(T.contains_constant(t)) * 2 < lasts(low.rlike(T.CONSTANT_PATTERN))
 
 
+def test_modifiers_are_the_same_with_one_search_each(spark):
+    r = random.Random(5)
+    words, signs = ([m for m in lexicon.PREFIXED_MODIFIERS if (m[-1].isalnum() or m.endswith(".")) == w] for w in (True, False))
+    prefix = rf"(?:(?:(?<!\w)(?:{T.alternatives(words)})(?!\w)|(?:{T.alternatives(signs)}))\s?)+"
+    suffixes = T.alternatives(lexicon.SUFFIXED_MODIFIERS)
+    olds = (rf"(?i)({prefix})$", rf"(?i)^({prefix})", rf"(?i)^(\s?(?:{suffixes})(?!\w))", rf"(?i)((?<!\w)(?:{suffixes}))$")
+    every = [*lexicon.PREFIXED_MODIFIERS, *lexicon.SUFFIXED_MODIFIERS]
+    texts = [*every, *(f" {m.upper()}" for m in every), *(f"{r.choice(['it ', '(', ''])}{a}{r.choice(['', ' ', 's '])}{b}{r.choice(['', ' ', 'x', ' 5'])}" for a, b in (r.choices(every, k=2) for _ in range(1500)))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = [F.regexp_extract("t", new, 1) == F.regexp_extract("t", old, 1) for new, old in zip((M._BEFORE, M._FIRST, M._AFTER, M._LAST), olds, strict=True)]
+    assert [df.where(~s).collect() for s in same] == [[]] * 4
+    rows = spark.range(0, 80_000, 1, 8).select(F.concat(F.lit("the load in the last year is approximately "), F.col("id").cast("string"), F.lit(" kg or more")).alias("t"))
+    once = _seconds(rows.where(F.regexp_extract("t", olds[0], 1) == ""))
+    found = lambda: _seconds(rows.where(F.array_join(M.modifiers(F.col("t"), F.lit(43), F.length("t") - 8), "|") != ""))
+    found()
+    assert found() < 2 * once  # what is before a span was looked for four times
+
+
 def _seconds(df) -> float:
     begun = time.monotonic()
     df.count()
