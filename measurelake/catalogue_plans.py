@@ -99,7 +99,7 @@ def quantity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantity_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("p_size").cast("string"), (F.col("p_size") + 12).cast("string")
     text = F.concat_ws(" ", *(F.element_at(F.array(*x), (F.col("p_partkey") % 5 + 1).cast("int")) for x in ((F.lit("about"), a, a, a, F.concat(a, F.lit(" x"))), (a, F.lit("to"), F.lit("and"), F.lit("out of"), b), (F.lit("kg"), F.concat(b, F.lit(" kg")), F.concat(b, F.lit(" kg")), b, F.concat(F.lit("x "), b, F.lit(" mm"))))))
-    r = interpret(_table(spark, sf_dir, "part"), text, "r")
+    r = interpret(spread(_table(spark, sf_dir, "part")), text, "r")
     return r.groupBy("r.type", "r.roles", "r.quantities").agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from measurelake.functions import lexicon
 from measurelake.functions.numbers import str2num
-from measurelake.functions.text import alternatives, let, normalize_quantity
+from measurelake.functions.text import let, normalize_quantity, trie
 
 #: Readings of a span, at most; a span with more is not read.
 MOST = 4096
@@ -19,7 +19,7 @@ TYPES = {"": "single_quantity", "r": "range", "l": "list", "x": "multidim", "q":
 _WORDS = [*lexicon.NUMBER_WORDS, *lexicon.MAGNITUDES, *lexicon.STANDALONE]
 _PHRASES = [*lexicon.PREFIXED_MODIFIERS, *lexicon.SUFFIXED_MODIFIERS, *lexicon.IMPRECISE_QUANTITIES, *_WORDS, *lexicon.RATIO_SEPARATORS]
 _NUMBER = r"\d+(?:[.,' ]\d{3}(?!\d))*(?:[.,]\d+)?(?: ?\* ?10\^[-+]?\d+|\^[-+]?\d+|/\d+)?"
-_TOKEN = rf"(\s+|± ?{_NUMBER}|{_NUMBER}|(?<![A-Za-z])(?:{alternatives([p for p in _PHRASES if p[0].isalnum()])})(?![A-Za-z])|-{{1,3}}|[A-Za-zµμ°%$€£¥]+(?:\^-?\d|(?<=[a-z]) -\d(?!\d))?|.)"
+_TOKEN = rf"(\s+|± ?{_NUMBER}|{_NUMBER}|(?<![A-Za-z])(?:{trie([p for p in _PHRASES if p[0].isalnum()])})(?![A-Za-z])|-{{1,3}}|[A-Za-zµμ°%$€£¥]+(?:\^-?\d|(?<=[a-z]) -\d(?!\d))?|.)"
 _SEGMENT = "m*u*m*n+e*u*m*"
 _SEPARATED = f"^{_SEGMENT}(?:[rlxq]{_SEGMENT})*$"
 
@@ -37,37 +37,40 @@ def tokens(text: Column) -> Column:
 
 
 def _one_of(terms: list[str] | tuple[str, ...]) -> str:
-    return f"(?i)^(?:{alternatives(terms)})$"
+    return f"(?i)^(?:{trie(terms)})$"
 
 
 def roles(found: Column) -> Column:
     """For each token the letters of the roles it may have, in order of preference; neighbours count past blanks."""
-    numeric = lambda t: F.coalesce(t.rlike(rf"^{_NUMBER}$") | t.rlike(_one_of([*_WORDS, *lexicon.IMPRECISE_QUANTITIES])), F.lit(False))
-
-    def role(t: Column, i: Column) -> Column:
-        blank = lambda k: F.coalesce(F.get(found, k).rlike(r"^\s+$"), F.lit(False))
-        before = F.when(i == 0, "").otherwise(F.get(found, i - F.when(blank(i - 1) & (i > 1), 2).otherwise(1)))
-        after = F.coalesce(F.get(found, i + F.when(blank(i + 1), 2).otherwise(1)), F.lit(""))
-        between = numeric(before) & numeric(after)
+    is_number = lambda t: F.coalesce(t.rlike(rf"^{_NUMBER}$") | t.rlike(_one_of([*_WORDS, *lexicon.IMPRECISE_QUANTITIES])), F.lit(False))
+
+    def role(x: Column, t: Column, i: Column) -> Column:
+        known = lambda marks, k: F.coalesce(F.get(marks, k), F.lit(False))
+        numeric = lambda k: known(x["numbers"], k)
+        back, on = i - F.when((i > 1) & known(x["blanks"], i - 1), 2).otherwise(1), i + F.when(known(x["blanks"], i + 1), 2).otherwise(1)
+        between = numeric(back) & numeric(on)
+        before = F.when(i == 0, "").otherwise(F.get(found, back))
         cut = lambda letter, other: F.when(between, F.array(*map(F.lit, letter + other))).otherwise(F.array(*map(F.lit, (other or "") + letter)))
         return (
-            F.when(t.rlike(r"^\s+$"), F.array(F.lit("s")))
+            F.when(F.get(x["blanks"], i), F.array(F.lit("s")))
             .when(t.rlike("^±"), F.array(F.lit("e")))
             .when(t.rlike("(?i)^an?$"), F.array(F.lit("n"), F.lit("m")))
             .when(t.rlike(r"^(?:19|20)\d\d$") & before.rlike("[$€£¥]$"), F.array(F.lit("u"), F.lit("n")))
-            .when(t.rlike(_one_of(lexicon.ALSO_UNITS)) & numeric(before), F.array(F.lit("u"), F.lit("n")))
-            .when(numeric(t), F.array(F.lit("n")))
+            .when(t.rlike(_one_of(lexicon.ALSO_UNITS)) & numeric(back), F.array(F.lit("u"), F.lit("n")))
+            .when(numeric(i), F.array(F.lit("n")))
             .when(t.rlike("^-+$"), F.when(between, F.array(F.lit("r"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("r"))))
             .when(t.rlike("(?i)^to$"), F.array(F.lit("r")))
             .when(t.rlike(_one_of(lexicon.LIST_SEPARATORS)), F.array(F.lit("l")))
             .when(t.rlike(_one_of(lexicon.MULTIDIM_SEPARATORS)), cut("x", "u"))
             .when(t.rlike(_one_of(lexicon.RATIO_SEPARATORS)), cut("q", "u"))
-            .when(t.rlike("(?i)^(?:min|max)$"), F.when(numeric(before), F.array(F.lit("u"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("u"))))
+            .when(t.rlike("(?i)^(?:min|max)$"), F.when(numeric(back), F.array(F.lit("u"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("u"))))
             .when(t.rlike(_one_of([*lexicon.PREFIXED_MODIFIERS, *lexicon.SUFFIXED_MODIFIERS])), F.array(F.lit("m")))
             .otherwise(F.array(F.lit("u")))
         )
 
-    return F.transform(found, role)
+    # what a token's neighbours ask of it is found once
+    marks = F.struct(F.transform(found, is_number).alias("numbers"), F.transform(found, lambda t: t.rlike(r"^\s+$")).alias("blanks"))
+    return let(marks, lambda x: F.transform(found, lambda t, i: role(x, t, i)))
 
 
 def readings(options: Column) -> Column:
@@ -77,7 +80,8 @@ def readings(options: Column) -> Column:
     """
     count = F.aggregate(options, F.lit(1).cast("long"), lambda a, o: F.least(a * F.size(o), F.lit(MOST + 1).cast("long")))
     every = F.aggregate(options, F.array(F.lit("")), lambda a, o: F.flatten(F.transform(a, lambda p: F.transform(o, lambda x: F.concat(p, x)))))
-    sound = lambda e: let(F.filter(e, lambda r: ~r.rlike("rs?r")), lambda kept: F.filter(kept, lambda r: ~(F.exists(kept, lambda o: (o.contains("q")) & (F.translate(o, "q", "u") == r)))))
+    ratios = lambda kept: F.transform(F.filter(kept, lambda r: r.contains("q")), lambda r: F.translate(r, "q", "u"))
+    sound = lambda e: let(F.filter(e, lambda r: ~r.rlike("rs?r")), lambda kept: let(ratios(kept), lambda as_unit: F.filter(kept, lambda r: ~F.array_contains(as_unit, r))))
     return F.when(count <= MOST, let(every, sound))
 
 
@@ -107,19 +111,25 @@ def ranked(df: DataFrame, found: str, every: str, out: str) -> DataFrame:
     falls = lambda r: (_kind(r) == "range") & F.coalesce(first(r) > last(r), F.lit(False))
     single = lambda r: _kind(r) == "single_quantity"
     rs = F.col(work)
+    which = lambda rule: F.filter(rs, rule)
+    least = lambda key: let(F.transform(rs, key), lambda keys: let(F.array_min(keys), lambda low: F.filter(rs, lambda _, i: F.get(keys, i) == low)))
+    no_single_beside = lambda other: let(F.exists(rs, other), lambda there: F.filter(rs, lambda r: ~(single(r) & there)))
     rules = [
-        lambda r: tier(r) == F.array_min(F.transform(rs, tier)),
-        lambda r: ~((_kind(r) == "range") & close(r).rlike("nu+r[^u]*n$") & small(r)),
-        lambda r: ~(single(r) & F.exists(rs, dash)),
-        lambda r: ~falls(r),
-        lambda r: ~(single(r) & F.exists(rs, lambda o: (_kind(o) == "range") & ~falls(o))),
-        lambda r: (_kind(r) == "multidim") & (size(r, "x") == 2),
-        lambda r: size(r, "rlxq") == F.array_min(F.transform(rs, lambda o: size(o, "rlxq"))),
+        least(tier),
+        which(lambda r: ~((_kind(r) == "range") & close(r).rlike("nu+r[^u]*n$") & small(r))),
+        no_single_beside(dash),
+        which(lambda r: ~falls(r)),
+        no_single_beside(lambda o: (_kind(o) == "range") & ~falls(o)),
+        which(lambda r: (_kind(r) == "multidim") & (size(r, "x") == 2)),
+        least(lambda r: size(r, "rlxq")),
     ]
-    out_df = df.withColumn(values, F.transform(found, lambda t: str2num(t, normalize=False))).withColumn(work, F.col(every))
+    # nothing is to be ranked where there is one reading, and only tokens that some reading takes for a number have a value
+    counts = lambda i: F.exists(F.col(every), lambda r: F.substring(r, i + 1, F.lit(1)) == "n")
+    value = F.when(F.size(every) > 1, F.transform(found, lambda t, i: F.when(counts(i), str2num(t, normalize=False))))
+    out_df = df.withColumn(values, value).withColumn(work, F.col(every))
     kept = unused_name(df, "__kept")
     for rule in rules:
-        out_df = out_df.withColumn(kept, F.filter(rs, rule)).withColumn(work, F.when(F.size(kept) > 0, F.col(kept)).otherwise(rs))
+        out_df = out_df.withColumn(kept, F.when(F.size(rs) > 1, rule)).withColumn(work, F.when(F.size(kept) > 0, F.col(kept)).otherwise(rs))
     return out_df.withColumn(out, F.get(work, F.lit(0))).drop(values, work, kept)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import time
 from fractions import Fraction
@@ -9,10 +10,12 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from measurelake import catalogue
 from measurelake.functions import formatting as N
 from measurelake.functions import lexicon
 from measurelake.functions import text as T
 from measurelake.functions.text import let
+from measurelake.operators import candidates as C
 from measurelake.operators import modifiers as M
 from measurelake.operators.quantities import spread
 
@@ -86,6 +89,19 @@ def test_modifiers_are_the_same_with_one_search_each(spark):
     assert found() < 2 * once  # what is before a span was looked for four times
 
 
+def test_ranking_of_many_readings_is_not_quadratic(spark):
+    every = ["n" + "".join(p) for p in itertools.product("um", repeat=11)]
+    rows = C.ranked(spark.createDataFrame([(["5", *"abcdefghijk"], [*every, "nrn"])], "t array<string>, e array<string>"), "t", "e", "r").select("r")
+    begun = time.monotonic()
+    assert rows.first().r == "nrn"  # beside a range that rises no single quantity stands
+    assert time.monotonic() - begun < 40
+
+
+def test_equal_spans_of_a_group_are_counted_before_they_are_parsed(spark):
+    plan = catalogue.QUERIES["quantity_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [") > plan.index("ArrowEvalPython")
+
+
 def _seconds(df) -> float:
     begun = time.monotonic()
     df.count()
