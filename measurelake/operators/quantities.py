@@ -100,13 +100,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.withColumn(number, F.monotonically_increasing_id()).repartition(cores, number).drop(number)
 
 
-def parse_quantities(df: DataFrame, text: Column, out: str = "quantity") -> DataFrame:
+def parse_quantities(df: DataFrame, text: Column, out: str = "quantity", deal: bool = True) -> DataFrame:
     """`df` with the record of a quantity span in column `out`; null for null, type `unknown` without a number.
 
     The normalized text is generated as a column before the grammar reads it: so the function's argument is a plain
     attribute, and the function runs once a row however many fields of the record are used. Of equal spans in a batch
-    one is parsed, and workers keep what they have parsed. Rows are only moved where a scan has too few parts.
+    one is parsed, and workers keep what they have parsed. Rows are only moved where a scan has too few parts, and not
+    without `deal`, as behind an exchange they are dealt already (to count its parts would run it).
     """
-    df = spread(df)
+    df = spread(df) if deal else df
     lines = df.select("*", F.explode(F.array(normalize_quantity(text))).alias("__normalized"))
     return lines.select(*(df[c] for c in df.columns), _parse()(F.col("__normalized")).alias(out))
